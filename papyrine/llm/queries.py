@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import bpe, leakage, quality, scan, split
+from papyrine.llm import bpe, intake, leakage, quality, scan, split
 from papyrine.llm.oracle import ORACLE as ORACLE  # noqa: F401
 from papyrine.sources.tables import load
 
@@ -20,6 +20,11 @@ def p1_text(spark: SparkSession, d: str) -> DataFrame:
     return scan.repaired(load(spark, d, "parsed_documents"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rejected intake items with the accepted item each repeats."""
+    return intake.rejected(load(spark, d, "intake_items"))
+
+
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Every piece of every oversized chunk and document."""
     return split.pieces(split.oversized(load(spark, d, "chunks"), load(spark, d, "parsed_documents")))
@@ -70,4 +75,4 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.with_statistics(load(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_text, p5_found, p5_pieces, p6_ids, p6_counts, p7_found, p7_matches, p7_items, p8_found, p8_kinds, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_text, p4_found, p5_found, p5_pieces, p6_ids, p6_counts, p7_found, p7_matches, p7_items, p8_found, p8_kinds, p8_statistics)}
