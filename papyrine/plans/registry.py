@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from papyrine.plans import general
+from papyrine.plans import collections, content, general, nearest
 
-MODULES = (general,)
+MODULES = (nearest, content, collections, general)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
