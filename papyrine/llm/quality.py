@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Labelled documents made for the induction, at most this many for each kind.
-LABELLED_PER_KIND = 1000
+LABELLED_PER_KIND = 1500
 #: Frequent function words of the four languages of the corpus, fixed values.
 COMMON = tuple(
     sorted(
@@ -34,82 +34,69 @@ COMMON = tuple(
         )
     )
 )
+LONGEST_COMMON = max(map(len, COMMON))
+BLANK = "[\\s\u00a0\u2000-\u200b\u202f\u3000\ufeff]+"
 VOWELS = "aeiouyäöüéèêëàâîïôûùáíóúœæ"
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a text, by name; all zero for a null, empty or blank one."""
-    t = F.coalesce(text, F.lit(""))
-    tokens = F.filter(F.split(t, r"[\s ]+"), lambda x: x != "")
-    lines = F.filter(F.split(t, "\n"), lambda x: F.trim(x, F.lit(" \t\r")) != "")
-    return {"_t": t, "_tokens": tokens, "_lines": lines}
+#: Patterns over whole texts, each read once by the regular-expression engine.
+PATTERNS = {
+    "cells": r"(?m)^(?:[^|\n]*\|[^|\n]*\||[^\t\n]*\t[^\t\n]*\t|[^;\n]*;[^;\n]*;|(?:[^,\n]|,(?=[ \t]))*+,(?!\s)(?:[^,\n]|,(?=[ \t]))*+,(?!\s)(?:[^,\n]|,(?=[ \t]))*+,|[ ]*[^ \n]+(?: [^ \n]+)*+ {2,}[^ \n]+(?: [^ \n]+)*+ {2,}[^ \n])[^\n]*",
+    "short": r"(?m)^[ \t]*[^\s][^\n]{0,58}(?<![.!?:\s])[ \t\r]*$",
+    "marked": r"(?m)^[ \t]*(?:[-*•·–+]|\(?[0-9a-zA-Z]{1,3}[.)]|\[[ xX]?\])[ \t][^\n]*$",
+    "ends": r"(?m)[.!?][ \t\r]*$",
+    "lines": r"[^\s][^\n]*",
+    "not_digits": r"\P{Nd}+",
+    "not_odd": r"[\p{L}\p{M}\p{Nd}\s.,;:!?'\"()%/|\-–—•\[\]<>&‘’“”]+",
+    "not_vowels": f"[^{VOWELS}{VOWELS.upper()}]+",
+    "not_letters": r"[^\p{L}]+",
+}
 
 
 def with_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and a column for each statistic, a row for each row of ``df``.
 
-    Shares lie between 0 and 1 and are 0 where there is nothing to share. Texts of any
-    length are measured whole; only the two named columns are read.
+    Shares lie between 0 and 1 and are 0 where there is nothing to share; a null, empty or
+    blank text has zeros only. Texts of any length are measured whole, by patterns over the
+    text as it is, so that no array of lines or characters is built; only the two named
+    columns are read.
     """
-    first = statistics(F.col("_text"))
-    d = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).select("_id", *[c.alias(n) for n, c in first.items()])
-    total = lambda a, f: F.aggregate(a, F.lit(0), lambda s, x: s + f(x))
-    gone = lambda x, s: F.length(x) - F.length(F.replace(x, F.lit(s), F.lit("")))
-
-    def is_cells(x: Column) -> Column:
-        return (gone(x, "|") >= 2) | (gone(x, "\t") >= 2) | (gone(x, ";") >= 2) | (F.regexp_count(x, F.lit(r",(?=\S|$)")) >= 3) | (F.regexp_count(F.rtrim(x), F.lit(r"\S {2,}(?=\S)")) >= 2)
-
-    line = F.transform(
-        F.col("_lines"),
-        lambda x: F.struct(
-            F.length(F.trim(x)).alias("n"),
-            is_cells(x).alias("cells"),
-            F.substring(F.rtrim(x), -1, 1).isin(".", "!", "?", ":", "。").alias("ends"),
-            F.trim(x).rlike(r"^(?:[-*•·–+]|\(?[0-9a-zA-Z]{1,3}[.)]|\[[ xX]?\])\s").alias("marked"),
-        ),
-    )
-    d = d.withColumns({"_l": line, "n_chars": F.length("_t"), "n_words": F.size("_tokens"), "n_lines": F.size("_lines")})
-    letters = F.length(F.regexp_replace("_t", r"[^\p{L}]+", ""))
-    digits = F.length(F.regexp_replace("_t", r"[^\p{Nd}]+", ""))
-    # Characters that no readable text has many of: marks of broken encodings, symbols.
-    odd = F.length(F.regexp_replace("_t", r"[\p{L}\p{M}\p{Nd}\s.,;:!?'\"()%/|\-–—•\[\]<>&‘’“”]+", ""))
-    vowels = F.length("_t") - F.length(F.translate(F.lower("_t"), VOWELS, ""))
+    d = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    count = lambda c, p: F.regexp_count(c, F.lit(PATTERNS[p]))
+    left = lambda c, p: F.length(F.regexp_replace(c, PATTERNS[p], ""))
+    t = F.col("_t")
+    d = d.withColumns({"_rest": F.when(t.contains("|") | t.contains("\t") | t.contains(";") | t.contains("  ") | t.rlike(r",\S"), F.regexp_replace(t, PATTERNS["cells"], "")).otherwise(t), "_w": F.filter(F.split("_t", BLANK), lambda x: x != ""), "n_chars": F.length("_t")})
+    rest, w = F.col("_rest"), F.col("_w")
+    solid = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(x))
     d = d.withColumns(
         {
-            "_letters": letters, "_digits": digits, "_odd": odd, "_vowels": vowels,
-            "_solid": total("_tokens", F.length),
-            "_common": F.size(F.filter("_tokens", lambda x: F.lower(x).isin(*COMMON))),
-            "_distinct": F.size(F.array_distinct("_tokens")),
-            "_repeats": F.size(F.filter(F.zip_with(F.col("_tokens"), F.slice(F.col("_tokens"), 2, F.greatest(F.size("_tokens"), F.lit(1))), lambda a, b: a == b), lambda x: x)),
-            "_single": F.size(F.filter("_tokens", lambda x: (F.length(x) == 1))),
-            "_long": total("_tokens", lambda x: F.when(F.length(x) > 24, F.length(x)).otherwise(0)),
-            "_mixed": total("_tokens", lambda x: F.when(x.rlike(r"[A-Za-z]+[0-9$_%]+[A-Za-z0-9$_%]+|[0-9][$_%][0-9$_%]|^[0-9a-f]{2}$|[a-z][A-Z][a-z0-9]*[A-Z0-9]"), F.length(x)).otherwise(0)),
-            "_measured": total("_l", lambda x: x["n"]),
-            "_cells": total("_l", lambda x: F.when(x["cells"], x["n"]).otherwise(0)),
-            "_short": total("_l", lambda x: F.when((x["n"] <= 60) & ~x["ends"] & ~x["cells"], x["n"]).otherwise(0)),
-            "_brief": total("_l", lambda x: F.when((x["n"] <= 44) & ~x["ends"] & ~x["cells"], x["n"]).otherwise(0)),
-            "_marked": total("_l", lambda x: F.when(x["marked"] & ~x["cells"], x["n"]).otherwise(0)),
-            "_ends": F.size(F.filter("_l", lambda x: x["ends"])),
+            "n_words": F.size("_w"), "_distinct": F.size(F.array_distinct("_w")), "n_lines": count(t, "lines"), "_restn": F.length(rest),
+            "_letters": left(t, "not_letters"), "_digits": left(t, "not_digits"), "_odd": left(t, "not_odd"), "_vowels": left(t, "not_vowels"),
+            "_solid": solid(w), "_common": F.size(F.filter(w, lambda x: (F.length(x) <= LONGEST_COMMON) & F.lower(x).isin(*COMMON))),
+            "_single": F.size(F.filter(w, lambda x: F.length(x) == 1)), "_long": solid(F.filter(w, lambda x: F.length(x) > 24)),
+            "_pairs": F.size(F.filter(w, lambda x: (F.length(x) == 2) & x.rlike("^[0-9a-f]{2}$"))) * 2, "_ends": count(t, "ends"),
+            "_short": F.length(rest) - left(rest, "short"), "_marked": F.length(rest) - left(rest, "marked"),
         }
-    )
-    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
+    ).withColumns({"_measured": F.greatest(F.col("n_chars") - F.col("n_lines") + 1, F.lit(0)), "_cells": F.col("n_chars") - F.col("_restn")})
+    share = lambda a, b: F.when(F.col(b) > 0, F.least(F.col(a) / F.col(b), F.lit(1.0))).otherwise(F.lit(0.0))
+    mean = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return d.select(
         F.col("_id").alias(id_col), F.col("n_chars").cast("long"), F.col("n_words").cast("long"), F.col("n_lines").cast("long"),
-        share("_solid", "n_words").alias("mean_word_length"), share("_measured", "n_lines").alias("mean_line_length"),
+        mean("_solid", "n_words").alias("mean_word_length"), mean("_measured", "n_lines").alias("mean_line_length"),
         share("_letters", "_solid").alias("letter_share"), share("_digits", "_solid").alias("digit_share"), share("_odd", "_solid").alias("symbol_share"),
         share("_vowels", "_letters").alias("vowel_share"), share("_common", "n_words").alias("common_word_share"), share("_distinct", "n_words").alias("distinct_word_share"),
-        F.col("_distinct").cast("long").alias("distinct_words"), share("_repeats", "n_words").alias("repeated_word_share"),
-        share("_single", "n_words").alias("single_char_share"), share("_long", "_solid").alias("long_token_share"), share("_mixed", "_solid").alias("code_token_share"),
+        F.col("_distinct").cast("long").alias("distinct_words"),
+        share("_single", "n_words").alias("single_char_share"), share("_long", "_solid").alias("long_token_share"), share("_pairs", "_solid").alias("code_token_share"),
         share("_ends", "n_lines").alias("end_punctuation_share"), share("_cells", "_measured").alias("cell_share"), share("_short", "_measured").alias("short_line_share"),
-        share("_brief", "_measured").alias("brief_line_share"), share("_marked", "_measured").alias("marked_share"),
+        share("_marked", "_measured").alias("marked_share"),
     )
 
 
 #: Statistics that rules may use. Those that depend on a text's length (other counts)
 #: or on the lexicon's word lengths don't tell kinds apart and aren't offered.
 FEATURES = (
-    "letter_share digit_share symbol_share vowel_share common_word_share distinct_words distinct_word_share repeated_word_share single_char_share "
-    "long_token_share code_token_share end_punctuation_share cell_share short_line_share brief_line_share marked_share"
+    "letter_share digit_share symbol_share vowel_share common_word_share distinct_words distinct_word_share single_char_share "
+    "long_token_share code_token_share end_punctuation_share cell_share short_line_share marked_share"
 ).split()
 
 # ---------------------------------------------------------------- labelled documents
@@ -155,7 +142,7 @@ class Maker:
         rate, numbers = self.r.triangular(0.14, 0.5, 0.34), self.r.choice([0, 0.03, 0.1])
         while sum(map(len, out)) < size:
             out.append(self.sentence(common, rate, numbers))
-        layout = self.r.randrange(4)
+        layout = self.style = self.r.randrange(4)
         if layout == 0:
             text = " ".join(out)
         elif layout == 1:
@@ -197,6 +184,7 @@ class Maker:
 
     def list(self, size: int) -> str:
         style, out, n = self.r.randrange(9), [], 0
+        self.style = style
         habits = [self.r.choice([0, 0, 0.25, 0.5]) for _ in range(3)]
         if self.r.random() < 0.6:
             out.append(self.r.choice([self.term().capitalize(), f"{self.term().capitalize()} {self.number()}:"]))
@@ -213,6 +201,7 @@ class Maker:
 
     def table(self, size: int) -> str:
         style, columns, out = self.r.randrange(7), self.r.randint(4, 7), []
+        self.style = style
         names = [self.term(2) for _ in range(columns)]
         rows, words = [names], self.r.choice([0, 0, 0.3, 0.8])
         while sum(len(c) + 2 for row in rows for c in row) < size or len(rows) < 4:
@@ -238,12 +227,13 @@ class Maker:
 
     def junk(self, size: int) -> str:
         r, style = self.r, self.r.randrange(10)
+        self.style = style
         pick = lambda s, n: "".join(r.choice(s) for _ in range(n))
         if style == 0:
             raw = base64.b64encode(r.randbytes(size * 3 // 4)).decode()
             return "\n".join(raw[i : i + 76] for i in range(0, len(raw), 76))
         if style == 1:
-            return "\n".join(f"{16 * i:08x}  " + " ".join(f"{r.randrange(256):02x}" for _ in range(16)) for i in range(max(2, size // 58)))
+            return "\n".join(f"{16 * i:08x}  " + " ".join(f"{r.randrange(256):02x}" for _ in range(16)) for i in range(max(2, size // 58)))[: -r.randint(1, 40)]
         if style == 2:
             return "".join(pick("!#$%&*+-./:;<=>?@[]^_{|}~\\", r.randint(1, 30)) + r.choice(" \n") for _ in range(max(4, size // 15)))
         if style == 3:
@@ -258,12 +248,14 @@ class Maker:
         if style == 7:
             level = r.uniform(0.35, 0.7)
             text = self.prose(size)
+            self.style = style
             return "".join(pick("�¤€¶Ã¿âé", 1) if r.random() < level and c != " " else c for c in text)
         if style == 8:
             return " ".join(pick("ACGT" if r.random() < 0.5 else "abcdefghijklmnopqrstuvwxyz0123456789", r.randint(30, 120)) for _ in range(max(1, size // 80)))
         return pick("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=", size)
 
     def document(self, kind: str) -> tuple[str, str]:
+        """A text and its kind with its style, as in ``list.3``."""
         make: dict[str, Callable[[int], str]] = {"prose": self.prose, "list": self.list, "table": self.table, "junk": self.junk}
         size = int(self.r.triangular(20, 2600, 300))
         self.lexicon = self.r.choice(self.lexica)
@@ -271,16 +263,17 @@ class Maker:
             # Long texts of few words, as templates bring.
             self.lexicon, size = self.lexicon[:30], size * 6
         text = make[kind](size)
+        style = self.style
         if self.r.random() < 0.3 and kind != "junk":
             # A part of another kind, clearly smaller or clearly larger than this one.
             other = self.r.choice([k for k in ("prose", "list", "table") if k != kind])
             factor = self.r.choice([0.15, 0.3, 0.5, 1.8])
             part = make[other](int(len(text) * factor))
             if 0.75 < len(part) / len(text) < 1.34:
-                return text, kind
-            kind = other if len(part) > len(text) else kind
+                return text, f"{kind}.{style}"
+            kind, style = (other, self.style) if len(part) > len(text) else (kind, style)
             text = "\n".join([part, text] if self.r.random() < 0.5 else [text, part])
-        return text, kind
+        return text, f"{kind}.{style}"
 
 
 def labelled(per_kind: int = LABELLED_PER_KIND, seed: int = 11) -> list[tuple[str, str]]:
@@ -322,6 +315,12 @@ def _grow(x: np.ndarray, y: np.ndarray, places: list[np.ndarray], most: int = 5)
                     best, choice = gain[k], (f, op, float(cuts[k]))
         if choice is None:
             break
+        # The threshold goes to the middle of the gap that it lies in.
+        f, op, v = choice
+        below, above = (y, ~y) if op == "<=" else (~y, y)
+        low, high = x[inside & below & (x[:, f] <= v), f], x[inside & above & (x[:, f] > v), f]
+        if len(low) and len(high) and low.max() < high.min():
+            choice = (f, op, float((low.max() + high.min()) / 2))
         rule.append(choice)
         inside &= _holds(x, [choice])
     return rule
@@ -339,30 +338,36 @@ def _prune(x: np.ndarray, y: np.ndarray, rule: list[Condition]) -> list[Conditio
     return best
 
 
-def induce(x: np.ndarray, kinds: np.ndarray, order: tuple[str, ...] = ("junk", "table", "list"), seed: int = 5, most_rules: int = 12) -> list[tuple[list[Condition], str]]:
-    """Ordered rules (conditions, kind); what no rule covers is of the remaining kind."""
+def induce(x: np.ndarray, kinds: np.ndarray, order: tuple[str, ...] = ("junk", "table", "list"), seed: int = 5, most_rules: int = 4) -> list[tuple[list[Condition], str]]:
+    """Ordered rules (conditions, kind); what no rule covers is of the remaining kind.
+
+    ``kinds`` are kinds with styles. Rules are learned style by style, so that each tells
+    what makes its style; rows of the kind's other styles are neither right nor wrong.
+    """
     rng = np.random.default_rng(seed)
-    places = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 65)[1:-1])) for f in range(x.shape[1])]
+    places = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 129)[1:-1])) for f in range(x.shape[1])]
     rules: list[tuple[list[Condition], str]] = []
     left = np.ones(len(x), bool)
+    family = np.array([k.split(".")[0] for k in kinds])
     for kind in order:
-        for _ in range(most_rules):
-            rows = rng.permutation(np.flatnonzero(left))
-            y = kinds == kind
-            if not y[rows].any():
-                break
-            third = len(rows) // 3
-            grow, prune = rows[third:], rows[:third]
-            rule = _grow(x[grow], y[grow], places)
-            if not rule:
-                break
-            rule = _prune(x[prune], y[prune], rule)
-            c = _holds(x[prune], rule)
-            p, n = int((c & y[prune]).sum()), int((c & ~y[prune]).sum())
-            if p <= n or p < 2:
-                break
-            rules.append((rule, kind))
-            left &= ~_holds(x, rule)
+        for style in sorted(set(kinds[family == kind])):
+            for _ in range(most_rules):
+                y = kinds == style
+                rows = rng.permutation(np.flatnonzero(left & (y | (family != kind))))
+                if y[rows].sum() < 6:
+                    break
+                third = len(rows) // 3
+                grow, prune = rows[third:], rows[:third]
+                rule = _grow(x[grow], y[grow], places)
+                if not rule:
+                    break
+                rule = _prune(x[prune], y[prune], rule)
+                c = _holds(x[prune], rule)
+                p, n = int((c & y[prune]).sum()), int((c & ~y[prune]).sum())
+                if p <= n or p < 2:
+                    break
+                rules.append((rule, kind))
+                left &= ~_holds(x, rule)
     return rules
 
 
