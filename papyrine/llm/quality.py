@@ -36,7 +36,9 @@ COMMON = tuple(
 )
 LONGEST_COMMON = max(map(len, COMMON))
 BLANK = "[\\s\u00a0\u2000-\u200b\u202f\u3000\ufeff]+"
-VOWELS = "aeiouyäöüéèêëàâîïôûùáíóúœæ"
+#: Unaccented vowels tell letters drawn at random in every language here, and their class is
+#: a bitmap for the engine.
+VOWELS = "aeiouy"
 
 
 #: Patterns over whole texts, each read once by the regular-expression engine.
@@ -390,4 +392,8 @@ def learn(spark: SparkSession, per_kind: int = LABELLED_PER_KIND, seed: int = 11
 def classified(df: DataFrame, case: str | None = None) -> DataFrame:
     """Statistics and ``kind``: prose, list, table or junk; null for texts without words."""
     case = learn(df.sparkSession)[0] if case is None else case
-    return with_statistics(df).withColumn("kind", F.expr(case))
+    measured = with_statistics(df)
+    # A filter on the kind must not be pushed below the statistics, which the planner would
+    # then write out, and compute, again for every condition of every rule.
+    once = measured.select(F.explode(F.array(F.struct(*measured.columns))).alias("s")).select("s.*")
+    return once.withColumn("kind", F.expr(case))
