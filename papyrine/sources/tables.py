@@ -41,6 +41,17 @@ def durable(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def computed_once(df: DataFrame) -> DataFrame:
+    """``df`` behind a step that expressions aren't merged across.
+
+    The planner otherwise writes a costly column out again wherever it is used above, in
+    filters and inside lambdas too. The step is a generator of one row for each.
+    """
+    from pyspark.sql import functions as F
+
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_once")).select("_once.*")
+
+
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Remove the files of a durable intermediate that no later plan reads."""
     jvm = spark.sparkContext._jvm
