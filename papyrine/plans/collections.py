@@ -12,24 +12,27 @@ from papyrine.plans import sql as q
 from papyrine.plans.content import current_chunks
 from papyrine.sources.tables import load
 
-_KEY = collapse(F.lower("doc_id"))
+
+def _key():
+    """How document ids compare: collapsed, in lower case."""
+    return collapse(F.lower("doc_id"))
 
 
 def _manifest(spark, d) -> DataFrame:
     """The current manifest entry of each document over all collections."""
-    m = load(spark, d, "manifest_docs").withColumn("doc_key", _KEY).where("doc_key <> ''")
+    m = load(spark, d, "manifest_docs").withColumn("doc_key", _key()).where("doc_key <> ''")
     return store.latest(m, ["doc_key"], ["updated_at", "entry_id"])
 
 
 def _registry(spark, d) -> DataFrame:
-    r = load(spark, d, "registry_docs").withColumn("doc_key", _KEY).where("doc_key <> ''")
+    r = load(spark, d, "registry_docs").withColumn("doc_key", _key()).where("doc_key <> ''")
     count = lambda c: number_text(F.col(c)).try_cast("decimal(38,9)").cast("bigint").alias(c)
     r = store.latest(r, ["doc_key"], ["updated_at", "entry_id"])
     return r.select("doc_key", "source_file", F.col("pdf_path").alias("local_file"), "source_sha256", count("chunks"), count("text_chunks"), count("table_chunks"))
 
 
 def _store(spark, d) -> DataFrame:
-    return reconcile.store_summary(current_chunks(spark, d).withColumn("doc_id", _KEY).where("doc_id <> ''"))
+    return reconcile.store_summary(current_chunks(spark, d).withColumn("doc_id", _key()).where("doc_id <> ''"))
 
 
 def _sides(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -40,7 +43,7 @@ def _sides(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
 def _entries(spark, d) -> DataFrame:
     """Identities of the three sides, one row per source and document."""
     names = {f: f for f in identity.FIELDS}
-    c = identity.identities(current_chunks(spark, d).withColumn("doc_id", _KEY), "doc_id", names, "id").withColumn("source", F.lit("store"))
+    c = identity.identities(current_chunks(spark, d).withColumn("doc_id", _key()), "doc_id", names, "id").withColumn("source", F.lit("store"))
     m = _manifest(spark, d).select(F.col("doc_key").alias("doc_id"), *identity.FIELDS).withColumn("source", F.lit("manifest"))
     r = _registry(spark, d).select(F.col("doc_key").alias("doc_id"), *identity.FIELDS).withColumn("source", F.lit("registry"))
     return c.unionByName(m).unionByName(r)
@@ -74,12 +77,12 @@ def version_issues(spark, d):
 
 def doc_identities(spark, d):
     """First known identity values of each stored document."""
-    return identity.identities(current_chunks(spark, d).withColumn("doc_id", _KEY), "doc_id", {f: f for f in identity.FIELDS}, "id")
+    return identity.identities(current_chunks(spark, d).withColumn("doc_id", _key()), "doc_id", {f: f for f in identity.FIELDS}, "id")
 
 
 def dup_identity(spark, d):
     """Identity values that several documents of the manifest claim."""
-    m = load(spark, d, "manifest_docs").withColumn("doc_id", _KEY).where("doc_id <> ''")
+    m = load(spark, d, "manifest_docs").withColumn("doc_id", _key()).where("doc_id <> ''")
     return identity.duplicates(m, by_source=False).select("field", "norm", F.array_join("doc_ids", ",").alias("doc_ids"), "n_docs")
 
 

@@ -21,13 +21,13 @@ def binary_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFra
 
 def markdown_files(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
     """Whole markdown files: doc_id, source_path, markdown_text."""
-    texts = spark.read.option("wholetext", "true").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
+    texts = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path, wholetext=True)
     return texts.select(doc_id_from_path(F.input_file_name()).alias("doc_id"), F.input_file_name().alias("source_path"), F.col("value").alias("markdown_text"))
 
 
 def table_artifacts(spark: SparkSession, path: str) -> DataFrame:
     """Sibling files ``<stem>.table_NN.csv|json`` as doc_stem, table_index, csv, json (one row per table)."""
-    texts = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.table_*.{csv,json}").option("recursiveFileLookup", "true").text(path)
+    texts = spark.read.option("pathGlobFilter", "*.table_*.{csv,json}").option("recursiveFileLookup", "true").text(path, wholetext=True)
     name = F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)
     rows = texts.select(
         F.regexp_extract(name, r"^(.*)\.table_\d+\.(?:csv|json)$", 1).alias("doc_stem"), F.regexp_extract(name, r"\.table_(\d+)\.", 1).cast("int").alias("table_index"),
@@ -68,7 +68,7 @@ def manifest_file(spark: SparkSession, path: str) -> DataFrame:
 
 def registry_file(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a registry JSON object (collections -> docs -> entry), also of the older layout without ``docs``."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     entry = T._parse_datatype_string(DOC_SCHEMA)
     outer = text.select(F.explode(F.from_json(F.get_json_object("value", "$.collections"), "map<string,string>")).alias("collection", "body"))
     docs = F.coalesce(F.from_json(F.get_json_object("body", "$.docs"), "map<string,string>"), F.map_filter(F.from_json("body", "map<string,string>"), lambda _, v: v.startswith("{")))
