@@ -385,13 +385,22 @@ def to_sql(rules: list[tuple[list[Condition], str]], names: list[str] = FEATURES
 
 
 def learn(spark: SparkSession, per_kind: int = LABELLED_PER_KIND, seed: int = 11) -> tuple[str, list[tuple[list[Condition], str]]]:
-    """The CASE expression learned from made documents, measured by the same expressions."""
+    """The CASE expression learned from made documents, measured by the same expressions.
+
+    Both depend on the parameters only, so they are learned once in a process.
+    """
+    if (per_kind, seed) in _LEARNED:
+        return _LEARNED[per_kind, seed]
     made = labelled(per_kind, seed)
     df = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(made)], "doc_id long, text string, kind string")
     got = {r[0]: r[1:] for r in with_statistics(df).select("doc_id", *[F.col(f).cast("double") for f in FEATURES]).collect()}
     x = np.array([got[i] for i in range(len(made))])
     rules = induce(x, np.array([k for _, k in made]))
-    return to_sql(rules), rules
+    _LEARNED[per_kind, seed] = to_sql(rules), rules
+    return _LEARNED[per_kind, seed]
+
+
+_LEARNED: dict[tuple[int, int], tuple[str, list]] = {}
 
 
 def classified(df: DataFrame, case: str | None = None) -> DataFrame:
