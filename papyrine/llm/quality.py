@@ -65,7 +65,7 @@ PATTERNS = {
 def with_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and a column for each statistic, a row for each row of ``df``.
 
-    Words are parted by ASCII white space; a text of blanks of any kind only has none. Shares lie between 0 and 1 and are 0 where there is nothing to share; a null, empty or
+    Words are parted by blanks of any kind (BLANK), which are no symbols. Shares lie between 0 and 1 and are 0 where there is nothing to share; a null, empty or
     blank text has zeros only. Texts of any length are measured whole, by patterns over the
     text as it is, so that no array of lines or characters is built; only the two named
     columns are read.
@@ -75,15 +75,16 @@ def with_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     left = lambda c, p: F.length(F.regexp_replace(c, PATTERNS[p], ""))
     t = F.col("_t")
     # Classes beyond the bitmap are slow; the few texts that need them are told by a search.
-    has = lambda marks: functools.reduce(lambda a, b: a | b, [t.contains(m) for m in marks])
-    words = F.when(t.rlike(f"^{BLANK[:-1]}*+$"), F.array().cast("array<string>")).otherwise(F.filter(F.split(t, r"\s+"), lambda x: x != ""))
+    has = lambda marks: (F.octet_length(t) > F.length(t)) & functools.reduce(lambda a, b: a | b, [t.contains(m) for m in marks])
+    marks = lambda m: F.when(has(m), F.regexp_count(t, F.lit(f"[{m}]"))).otherwise(0)
+    words = F.filter(F.when(has(BLANKS), F.split(t, BLANK)).otherwise(F.split(t, r"\s+")), lambda x: x != "")
     d = d.withColumns({"_rest": F.when(t.contains("|") | t.contains("\t") | t.contains(";") | t.contains("  ") | t.rlike(r",\S"), F.regexp_replace(t, PATTERNS["cells"], "")).otherwise(t), "_w": words, "n_chars": F.length("_t")})
     rest, w = F.col("_rest"), F.col("_w")
     solid = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(x))
     d = d.withColumns(
         {
             "n_words": F.size("_w"), "_distinct": F.size(F.array_distinct("_w")), "n_lines": count(t, "lines"), "_restn": F.length(rest),
-            "_letters": left(t, "not_letters"), "_digits": left(t, "not_digits"), "_odd": left(t, "not_odd") - F.when(has(QUOTES), F.regexp_count(t, F.lit(f"[{QUOTES}]"))).otherwise(0), "_vowels": left(t, "not_vowels"),
+            "_letters": left(t, "not_letters"), "_digits": left(t, "not_digits"), "_odd": left(t, "not_odd") - marks(QUOTES) - marks(BLANKS), "_vowels": left(t, "not_vowels"),
             "_solid": solid(w), "_common": F.size(F.filter(w, lambda x: (F.length(x) <= LONGEST_COMMON) & F.lower(x).isin(*COMMON))),
             "_single": F.size(F.filter(w, lambda x: F.length(x) == 1)), "_long": solid(F.filter(w, lambda x: F.length(x) > 24)),
             "_pairs": F.size(F.filter(w, lambda x: (F.length(x) == 2) & x.rlike("^[0-9a-f]{2}$"))) * 2, "_ends": count(t, "ends"),

@@ -55,6 +55,31 @@ def test_statistics_against_plain_python(spark, data):
             assert s.long_token_share == pytest.approx(sum(len(w) for w in words if len(w) > 24) / solid)
 
 
+def test_words_are_parted_by_blanks_of_any_kind(spark, learned):
+    prose = "The samples were kept at room temperature for a week, and the values of the control group did not change. It was not possible to repeat the test."
+    rows = [("plain", prose)] + [(f"{ord(b):x}", prose.replace(" ", b)) for b in q.BLANKS] + [(f"only {ord(b):x}", f"{b} {b}") for b in q.BLANKS]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: r.asDict() for r in q.classified(df, learned[0]).collect()}
+    stats = {r.doc_id: r.asDict() for r in q.with_statistics(df).collect()}
+    same = ("n_words", "mean_word_length", "common_word_share", "distinct_word_share", "distinct_words", "single_char_share", "long_token_share", "symbol_share")
+    for i, r in stats.items():
+        if i.startswith("only"):
+            assert r["n_words"] == 0 and r["symbol_share"] == 0 and got[i]["kind"] is None
+        else:
+            assert {f: r[f] for f in same} == {f: stats["plain"][f] for f in same} and got[i]["kind"] == "prose"
+
+
+def test_words_of_texts_with_wide_blanks(spark, data):
+    import re
+
+    docs = [r for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect() if re.search(f"[{q.BLANKS}]", r.text or "")]
+    got = {r.doc_id: r for r in q.with_statistics(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for r in docs:
+        words = [w for w in re.split(q.BLANK, r.text) if w]
+        assert got[r.doc_id].n_words == len(words) and got[r.doc_id].distinct_words == len(set(words))
+    assert docs
+
+
 def test_empty_table(spark, learned):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert q.classified(df, learned[0]).count() == 0
