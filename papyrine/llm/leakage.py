@@ -7,11 +7,12 @@ windows of words, projected into the latent space, and compared with every passa
 block by cosine. Candidates are then checked by the longest common subsequence with the
 passage, by the answer's words, and by the exact rule for consecutive words.
 
-The candidate search loses nothing. Windows are twice as long as the run of words looked
+The candidate search loses no run. Windows are twice as long as the run of words looked
 for and start once per run length, so each run lies within a window. For each passage the
 least product with any window that holds such a run is known from the passage alone; with
 the part of the passage that the SVD leaves out as a margin, every window that could hold
-a run reaches the bound.
+a run reaches the bound. Paraphrases are what the thresholds say: every window that reaches
+the least cosine is looked at with its surroundings, a passage's length at each side.
 """
 
 from __future__ import annotations
@@ -120,10 +121,11 @@ class Model:
             self.holds[k, s] = True
 
     def candidates(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows of padded word ids (blocks x run), passages and cosines above a bound."""
+        """Windows of padded word ids (blocks x run), passages and cosines: all that may hold a
+        run, and all that reach the least cosine."""
         known = ids >= 0
         count = known.sum(1)
-        pair = np.flatnonzero((count[:-1] + count[1:]) >= self.need.min())
+        pair = np.flatnonzero((count[:-1] + count[1:]) > 0)
         hit_w, hit_p, hit_c = [], [], []
         safe = np.where(known, ids, len(self.weight) - 1)
         for part in np.array_split(pair, max(1, len(pair) // 8192)):
@@ -136,9 +138,9 @@ class Model:
             cosine = dot / (np.sqrt((u * u).sum(1))[:, None] + 1e-9) / self.norm[None, :]
             bound = self.least[None, :] * (1 - 1e-4) - most[:, None] * self.left_out[None, :]
             a, b = np.nonzero((dot >= bound) | (cosine >= COSINE))
-            # A common subsequence is no longer than the words that both have.
-            both = self.holds[b[:, None], w[a]].sum(1) >= self.need[b]
-            a, b = a[both], b[both]
+            # A run is no longer than the words that both have.
+            kept = (cosine[a, b] >= COSINE) | (self.holds[b[:, None], w[a]].sum(1) >= self.need[b])
+            a, b = a[kept], b[kept]
             hit_w.append(part[a])
             hit_p.append(b)
             hit_c.append(cosine[a, b])
@@ -146,6 +148,27 @@ class Model:
             return np.empty(0, int), np.empty(0, int), np.empty(0)
         return np.concatenate(hit_w), np.concatenate(hit_p), np.concatenate(hit_c)
 
+    def hopeful(self, ids: np.ndarray, w: np.ndarray, p: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether a candidate may hold a run, or its surroundings enough for a paraphrase.
+
+        ``low`` and ``high`` are the first block of its document and the first of the next. A
+        common subsequence is no longer than the words of the surroundings that the passage has.
+        """
+        size = np.array([len(s) for s in self.sequences])
+        out = []
+        for part in np.array_split(np.arange(len(w)), max(1, len(w) // 100_000)):
+            i, x = p[part], w[part]
+            side = -(-size[i] // self.run)
+            own, around = np.zeros(len(part), int), np.zeros(len(part), int)
+            for k in range(-int(side.max()), int(side.max()) + 2):
+                at = np.flatnonzero((x + k >= low[part]) & (x + k < high[part]) & (k >= -side) & (k <= side + 1))
+                n = self.holds[i[at, None], ids[x[at] + k]].sum(1)
+                around[at] += n
+                if k in (0, 1):
+                    own[at] += n
+            out.append((own >= self.need[i]) | (around >= LCS_SHARE * size[i]))
+        return np.concatenate(out)
+
 
 def _masks(sequence: list[int]) -> dict[int, int]:
     out: dict[int, int] = {}
@@ -247,36 +270,51 @@ def _search(model: Model, keys: pa.Array, rows: list[list[int]]) -> Iterator[pa.
     if not len(w):
         return
     doc = np.searchsorted(first, w, side="right") - 1
-    groups: dict[tuple[int, int], list[int]] = {}
+    # Windows that begin with the block between documents hold the next document's words.
+    inside = w < first[doc + 1] - 1
+    w, p, c, doc = w[inside], p[inside], c[inside], doc[inside]
+    if not len(w):
+        return
+    # A pair none of whose candidates can come to anything needs no closer look.
+    _, pair = np.unique(doc * len(model.items) + p, return_inverse=True)
+    hope = np.zeros(int(pair.max()) + 1, bool)
+    hope[pair[model.hopeful(ids, w, p, first[doc], first[doc + 1])]] = True
+    left = np.flatnonzero(hope[pair])
+    groups: dict[tuple[int, int], list[tuple[int, float]]] = {}
     best: dict[tuple[int, int], float] = {}
-    for d, i, x, cos in zip(doc.tolist(), p.tolist(), w.tolist(), c.tolist()):
-        groups.setdefault((d, i), []).append(x)
+    for d, i, x, cos in zip(doc[left].tolist(), p[left].tolist(), w[left].tolist(), c[left].tolist()):
+        groups.setdefault((d, i), []).append((x, cos))
         best[d, i] = max(best.get((d, i), -1.0), cos)
     out: list[tuple] = []
     for (d, i), windows in groups.items():
         base, n, need = int(first[d]), lengths[d], int(model.need[i])
         size = len(model.sequences[i])
         own = np.array(rows[d], dtype=np.int32)
-        # The common subsequence with the candidate window must reach the run's length.
-        near, exact, seen = [], False, 0
-        for x in windows:
+        held = model.holds[i, own]
+        before = np.concatenate([[0], np.cumsum(held)])
+        # A run's window has a common subsequence of the run's length with the passage; one
+        # that reaches the least cosine may be a paraphrase without.
+        near, exact = [], False
+        for x, cos in windows:
             a = (x - base) * run
-            piece = own[a : a + 2 * run]
-            if lcs_length(model.masks[i], size, piece.tolist()) >= need:
-                exact = exact or longest_run(model.grams[i], need, piece)
+            b = min(n, a + 2 * run)
+            enough = before[b] - before[a] >= need and lcs_length(model.masks[i], size, own[a:b].tolist()) >= need
+            if enough:
+                exact = exact or longest_run(model.grams[i], need, own[a:b])
+            if enough or cos >= COSINE:
                 near.append(a)
         if not near:
             continue
         share = answer = 0.0
-        reach = 0
         for a in near:
-            if a < reach or seen > 64:
-                continue
             low, high = max(0, a - size), min(n, a + 2 * run + size)
-            reach, seen = a + size, seen + 1
-            part = own[low:high].tolist()
-            share = max(share, lcs_length(model.masks[i], size, part) / size)
-            answer = max(answer, len(model.answers[i] & set(part)) / len(model.answers[i]))
+            count = int(before[high] - before[low])
+            if share == answer == 1 or count <= share * size and answer == 1:
+                continue
+            part = own[low:high][held[low:high]].tolist()
+            if count > share * size:
+                share = max(share, lcs_length(model.masks[i], size, part) / size)
+            answer = max(answer, len(model.answers[i].intersection(part)) / len(model.answers[i]))
         if exact or (best[d, i] >= COSINE and share >= LCS_SHARE and answer >= ANSWER_SHARE):
             out.append((d, model.items[i], float(best[d, i]), share, answer, exact))
     if out:

@@ -91,3 +91,31 @@ def test_common_subsequence():
             for j in range(30):
                 t[i + 1][j + 1] = t[i][j] + 1 if x[i] == y[j] else max(t[i][j + 1], t[i + 1][j])
         assert lk.lcs_length(lk._masks(x), 20, y) == t[20][30]
+
+
+def test_no_paraphrase_is_lost(spark):
+    rng = random.Random(11)
+    lexicon = [f"w{i}" for i in range(900)]
+    long, short = rng.sample(lexicon[:400], 40), rng.sample(lexicon[400:], 11)
+    other = [rng.sample(lexicon, 40) for _ in range(20)]
+    items = [(0, " ".join(long)), (1, " ".join(short))] + [(k + 2, " ".join(o)) for k, o in enumerate(other)]
+    filler = lambda n: [f"z{rng.randint(0, 9999)}" for _ in range(n)]
+    changed = lambda w, every: [f"y{k}" if k % every == every - 1 else x for k, x in enumerate(w)]
+    # Half of the passage in order, far from a paraphrase, in many places.
+    weak = lambda: [*long[:11], "z", *long[12:20]]
+    many = [x for _ in range(90) for x in weak() + filler(150)]
+    spread = [y for x in long for y in [x, *filler(2)]]
+    docs = {
+        "many": many + changed(long, 8),
+        "short": filler(50) + [*short[:5], "other", *short[6:]] + filler(50),
+        "spread": filler(30) + spread + filler(30),
+        "begins late": filler(36) + weak() + filler(4) + filler(12) + changed(long, 8) + filler(200),
+        "weak": many, "none": filler(500),
+    }
+    df = spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id string, text string")
+    pf = spark.createDataFrame(items, "item_id long, passage string")
+    got = {(r.doc_id, r.item_id): r for r in lk.matches(df, pf).collect()}
+    assert {k for k in got if k[1] < 2} == {("many", 0), ("short", 1), ("spread", 0), ("begins late", 0)}
+    assert got["many", 0].lcs_share == 35 / 40 and got["begins late", 0].lcs_share >= 35 / 40
+    assert got["short", 1].lcs_share == 10 / 11 and got["spread", 0].lcs_share >= 0.7
+    assert not any(r.exact for r in got.values())
