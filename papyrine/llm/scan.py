@@ -1,22 +1,27 @@
 """Repair of text from scanned pages.
 
-The corpus is read three times, without moving any text between machines. First, words are
-counted, and a word is trusted when it is frequent and is no misreading of a far more
-frequent one. Second, skip-gram vectors of the trusted words are learned from all their
-co-occurrences: the objective of skip-gram with negative sampling is taken over the exact
+The corpus is read three times. First, words are counted, and a word is trusted when it has
+a least count and is no misreading of a far more frequent one. Second, skip-gram vectors of
+the most frequent trusted words are learned from all their co-occurrences with the most
+frequent ones: the objective of skip-gram with negative sampling is taken over the exact
 pair counts, so no pair is sampled. Third, each paper is repaired by itself: furniture is
 found by position, sequence and repetition, words broken over lines are joined, and a word
 that isn't trusted is linked to the trusted words it may be a misreading of by plausible
 glyph edits, among which the vectors of its context choose. What is left is reflowed.
+
+While all trusted words fit into the table of vectors, no text moves between machines.
+Beyond, the words that papers ask for are looked up among all trusted words by joins, and
+papers meet what was found for them; the table bounds the vectors only.
 """
 
 from __future__ import annotations
 
+import copy
 import difflib
 import math
 import re
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections import ChainMap, Counter, defaultdict
+from collections.abc import Callable, Iterator, Mapping
 from functools import lru_cache
 
 import numpy as np
@@ -37,10 +42,12 @@ DIGITS = {"l": "1", "I": "1", "i": "1", "|": "1", "O": "0", "o": "0", "Z": "2",
 #: Words that follow a hanging hyphen ("pre- and post-treatment"), fixed values.
 LINKING = frozenset("and or to und oder bis et ou y o e u".split())
 HYPHENS = "-­¬‐‑"
-#: Trusted words at most (their table and vectors are sent to every executor: 16,384 words
-#: of 32 dimensions, 4 MB), least share of all words, how many times more frequent the
+#: Trusted words with vectors at most (their table is sent to every executor: 16,384 words
+#: of 32 dimensions, 4 MB), least count of a trusted word, how many times more frequent the
 #: source of a misreading is, words taken as contexts, window and dimensions.
-MOST_WORDS, LEAST_COUNT, LEAST_SHARE, TIMES, CONTEXTS, WINDOW, DIMENSIONS = 16_384, 4, 2e-7, 12, 512, 2, 32
+MOST_WORDS, LEAST_COUNT, TIMES, CONTEXTS, WINDOW, DIMENSIONS = 16_384, 4, 12, 512, 2, 32
+#: Longest word that is looked up as a misreading.
+LONGEST = 40
 
 #: Step and decay of the gradient ascent.
 STEP, DECAY = 1.0, 0.01
@@ -59,6 +66,10 @@ def core(token: str) -> str:
     return _EDGE.sub("", token).lower()
 
 
+def _bare(token: str) -> str:
+    return token.strip(".,;:!?()[]{}\"'“”‘’*_<>=+/\\-–—")
+
+
 # ---------------------------------------------------------------- trusted words
 
 
@@ -80,19 +91,47 @@ def _at(word: str, part: str) -> list[int]:
     return out
 
 
-def trusted(counts: dict[str, int], total: int) -> dict[str, int]:
-    """Frequent words that aren't misreadings of words far more frequent than themselves."""
-    least = max(LEAST_COUNT, LEAST_SHARE * total)
+def _plausible(word: str) -> bool:
+    """Whether a word has letters and isn't a number with misread digits."""
+    return bool(_LETTERS.search(word)) and not (_NUMBER.match(word) and re.search(r"[0-9]", word))
+
+
+def trusted(counts: dict[str, int]) -> dict[str, int]:
+    """Words of a least count that aren't misreadings of words far more frequent than themselves."""
     good: dict[str, int] = {}
     for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
-        if n < least or not _LETTERS.search(w):
-            continue
-        if any(good.get(s, 0) >= TIMES * n for s in sources(w)) or (_NUMBER.match(w) and re.search(r"[0-9]", w)):
-            continue
-        good[w] = n
+        if n >= LEAST_COUNT and _plausible(w) and not any(good.get(s, 0) >= TIMES * n for s in sources(w)):
+            good[w] = n
     return good
 
 
+def trusted_table(counts: DataFrame) -> DataFrame:
+    """The same of any number of words: word, n.
+
+    A word falls when a source of it stands. Words without far more frequent sources stand
+    from the start; each round lets those fall that have a source which surely stands, and a
+    source is TIMES as frequent, so that there are few rounds.
+    """
+    able = counts.where(F.col("n") >= LEAST_COUNT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(w, n, s) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if _plausible(w) for s in (w, *sources(w))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.string()))], names=["word", "n", "s"])
+
+    edges = durable(able.select("word", "n").mapInArrow(run, "word string, n long, s string"), "edges")
+    words = edges.where("s = word").select("word", "n")
+    pairs = durable(edges.join(words.select(F.col("word").alias("s"), F.col("n").alias("m")), "s").where(F.col("m") >= TIMES * F.col("n")).select("word", "s"), "pairs")
+    fallen = None
+    while not pairs.isEmpty():
+        open_words = pairs.select(F.col("word").alias("s")).distinct()
+        bad = durable(pairs.join(open_words, "s", "left_anti").select("word").distinct(), "fallen")
+        fallen = bad if fallen is None else fallen.unionAll(bad)
+        pairs = durable(pairs.join(bad, "word", "left_anti").join(bad.select(F.col("word").alias("s")), "s", "left_anti").select("word", "s"), "pairs")
+    return durable(words if fallen is None else words.join(fallen, "word", "left_anti"), "trusted")
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """Words of all texts with their counts; words broken over lines aren't counted."""
 
@@ -188,20 +227,38 @@ def skip_gram(pairs: np.ndarray, negatives: int = 5, rounds: int = 120, seed: in
 
 
 class Lexicon:
-    """Trusted words with counts and vectors; chooses the source of a misread word."""
+    """Trusted words with counts and vectors; chooses the source of a misread word.
+
+    ``table`` holds all trusted words where ``counts`` has the most frequent of them only.
+    """
 
-    def __init__(self, counts: dict[str, int], u: np.ndarray, v: np.ndarray):
-        self.counts, self.u, self.v = counts, u, v
+    def __init__(self, counts: Mapping[str, int], u: np.ndarray, v: np.ndarray, table: DataFrame | None = None):
+        self.counts, self.u, self.v, self.table = counts, u, v, table
         self.index = {w: i for i, w in enumerate(counts)}
         self.known: dict[str, list[str]] = {}
         self.settled: dict[str, str | None] = {}
 
+    def for_paper(self, found: list[dict] | None) -> Lexicon:
+        """With what was looked up among all trusted words for one paper."""
+        own = copy.copy(self)
+        more = {r["s"]: r["n"] for x in found or () for r in x["links"]}
+        own.counts, own.settled = ChainMap(more, self.counts), {}
+        own.known = defaultdict(list)
+        for x in found or ():
+            if x["word"] not in own.counts:
+                own.known[x["word"]] = sorted(r["s"] for r in x["links"])
+        own.links = own.known.__getitem__
+        return own
+
+    def join(self, token: str, next_tokens: list[str], context: list[str]) -> tuple[str, str] | None:
+        return _join(token, next_tokens, context, self)
+
     def links(self, word: str) -> list[str]:
         """Trusted words that ``word`` may be a misreading of, by the fewest edits."""
         found = self.known.get(word)
         if found is None:
             found = []
-            if word not in self.counts and len(word) <= 40:
+            if word not in self.counts and len(word) <= LONGEST:
                 for edits in (1, 2) if len(word) > 3 else (1,):
                     found = sorted(s for s in sources(word, edits) if s in self.counts)
                     if found:
@@ -218,8 +275,9 @@ class Lexicon:
         near = [i for i in (self.index.get(c, -1) for c in context) if 0 <= i < len(self.v)]
 
         def score(w: str) -> float:
-            x = self.u[self.index[w]]
-            fit = sum(-math.log1p(math.exp(-float(x @ self.v[i]))) for i in near)
+            # A word beyond the table has no vector, which speaks neither for nor against it.
+            at = self.index.get(w)
+            fit = sum(-math.log1p(math.exp(-float(self.u[at] @ self.v[i]) if at is not None else 0.0)) for i in near)
             return fit + 0.5 * math.log(self.counts[w])
 
         return max(found, key=lambda w: (score(w), w))
@@ -243,7 +301,7 @@ class Lexicon:
 
     def _sources_of(self, token: str) -> str | list[str] | None:
         """What a token is: None where it is right, a repaired number, or its possible sources."""
-        bare = token.strip(".,;:!?()[]{}\"'“”‘’*_<>=+/\\-–—")
+        bare = _bare(token)
         raw, plain = bare.lower(), core(token)
         if not raw or plain in self.counts and raw == plain:
             return None
@@ -268,11 +326,14 @@ def learn(documents: DataFrame, text_col: str = "markdown_text") -> Lexicon:
     """Trusted words and their vectors, from all texts."""
     texts = documents.select(F.col(text_col).alias("t"))
     counts = durable(word_counts(texts), "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(LEAST_COUNT, LEAST_SHARE * total)
-    # Only the most frequent words come to the driver, of a fixed number.
-    top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(MOST_WORDS)
-    good = trusted({r.word: r.n for r in top.collect()}, total)
+    # At most MOST_WORDS words come to the driver.
+    top = counts.where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "word").limit(MOST_WORDS + 1).collect()
+    table = None
+    if len(top) <= MOST_WORDS:
+        good = trusted({r.word: r.n for r in top})
+    else:
+        table = trusted_table(counts)
+        good = {r.word: r.n for r in table.orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()}
     index = {w: i for i, w in enumerate(good)}
     contexts = min(CONTEXTS, max(1, len(index)))
     matrix = np.zeros((max(1, len(index)), contexts))
@@ -280,7 +341,71 @@ def learn(documents: DataFrame, text_col: str = "markdown_text") -> Lexicon:
         # At most MOST_WORDS * CONTEXTS rows of 12 bytes, 100 MB.
         pairs = pair_counts(texts, index, contexts).select(F.col("w").cast("int"), F.col("c").cast("int"), F.col("n").cast("float")).toPandas()
         matrix[pairs["w"].to_numpy(), pairs["c"].to_numpy()] = pairs["n"].to_numpy()
-    return Lexicon(good, *skip_gram(matrix))
+    return Lexicon(good, *skip_gram(matrix), table)
+
+
+class _Asking:
+    """Takes the place of a lexicon to note the words that a paper looks up."""
+
+    def __init__(self):
+        self.words: set[str] = set()
+
+    def repair(self, token: str, context: Callable[[], list[str]]) -> None:
+        self.words |= {_bare(token).lower(), core(token)}
+
+    def join(self, token: str, next_tokens: list[str], context: list[str]) -> None:
+        if next_tokens:
+            rest = next_tokens[0].lstrip("\x0c")
+            self.words |= {core(token[:-1] + rest), core(token[:-1] + "-" + rest), core(token[:-1]).split("-")[-1], core(rest).split("-")[0]}
+
+
+def looked_up(papers: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``papers`` (doc_id, t) with what all trusted words say of the words each asks for.
+
+    Adds ``found``, an array of word and links: the word itself where it is trusted, else
+    its possible sources by the fewest edits. Words of the table of vectors are known
+    everywhere and aren't looked up.
+    """
+    shared = papers.sparkSession.sparkContext.broadcast(set(lexicon.counts))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            rows: list[tuple[str, str]] = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                asking = _Asking()
+                repair_paper(t.as_py() or "", asking)
+                rows += [(k, w) for w in asking.words if w and w not in known]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["k", "word"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            for start in range(0, len(words), 1000):
+                rows = [(w, 0, w) for w in words[start : start + 1000]]
+                for w in words[start : start + 1000]:
+                    if len(w) <= LONGEST:
+                        one = sources(w)
+                        rows += [(w, 1, x) for x in one]
+                        if len(w) > 3:
+                            rows += [(w, 2, x) for x in sources(w, 2) - one]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int32(), pa.string()))], names=["word", "edits", "s"])
+
+    keyed = papers.withColumn("k", F.sha2("t", 256))
+    asked = durable(keyed.where("t is not null").select("k", "t").mapInArrow(ask, "k string, word string").distinct(), "asked")
+    edges = asked.select("word").distinct().mapInArrow(spread, "word string, edits int, s string")
+    hit = edges.join(lexicon.table.select(F.col("word").alias("s"), "n"), "s").groupBy("word", "edits").agg(F.collect_list(F.struct("s", "n")).alias("links"))
+    best = hit.groupBy("word").agg(F.min_by("links", "edits").alias("links"))
+    found = asked.join(best, "word").groupBy("k").agg(F.collect_list(F.struct("word", "links")).alias("found"))
+    return keyed.join(found, "k", "left").select("doc_id", "t", "found")
+
+
+def _each(batch: pa.RecordBatch, own: Lexicon) -> Iterator[tuple[str | None, str | None, Lexicon]]:
+    """Id and text of each paper with the lexicon that holds for it."""
+    for r in range(batch.num_rows):
+        yield batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), own.for_paper(batch.column(2)[r].as_py()) if batch.num_columns > 2 else own
 
 
 # ---------------------------------------------------------------- one paper
@@ -434,7 +559,7 @@ def repair_paper(text: str, lexicon: Lexicon) -> tuple[list[tuple[int, str, str]
         for k in range(start, len(tokens)):
             t = tokens[k]
             if k == len(tokens) - 1 and len(t) > 1 and t[-1] in HYPHENS and t[-2].isalnum() and i in following and taken.get(i, 0) <= k:
-                joined = _join(t, lines[following[i]].split(), [core(x) for x in tokens[max(0, k - WINDOW) : k]], lexicon)
+                joined = lexicon.join(t, lines[following[i]].split(), [core(x) for x in tokens[max(0, k - WINDOW) : k]])
                 if joined is not None:
                     word, whole = joined
                     found.append((i + 1, "hyphen_break", word))
@@ -541,15 +666,15 @@ def findings(documents: DataFrame, id_col: str = "doc_id", text_col: str = "mark
         own = Lexicon(*shared.value)
         for batch in batches:
             rows: list[tuple] = []
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                s = t.as_py()
+            for d, s, lexicon_of in _each(batch, own):
                 if s:
-                    rows += [(d, *f) for f in repair_paper(s, own)[0]]
+                    rows += [(d, *f) for f in repair_paper(s, lexicon_of)[0]]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int32(), pa.string(), pa.string()))], names=["doc_id", "line_no", "kind", "word"])
 
     # Distinct by the small findings, not by the texts.
     papers = documents.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("t"))
+    papers = papers if lexicon.table is None else looked_up(papers, lexicon)
     return papers.mapInArrow(run, "doc_id string, line_no int, kind string, word string").distinct()
 
 
@@ -565,8 +690,9 @@ def repaired(documents: DataFrame, id_col: str = "doc_id", text_col: str = "mark
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Lexicon(*shared.value)
         for batch in batches:
-            texts = [None if s is None else repair_paper(s, own)[1] for s in batch.column(1).to_pylist()]
+            texts = [None if s is None else repair_paper(s, lexicon_of)[1] for _, s, lexicon_of in _each(batch, own)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     papers = documents.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("t")).dropDuplicates()
+    papers = papers if lexicon.table is None else looked_up(papers, lexicon)
     return papers.mapInArrow(run, schema)

@@ -122,3 +122,31 @@ def test_vectors_put_words_near_their_contexts():
     u, v = scan.skip_gram(n)
     s = u @ v.T
     assert (s[:2, 0] > s[:2, 1]).all() and (s[2:, 1] > s[2:, 0]).all()
+
+
+def test_words_beyond_the_table_of_vectors_are_trusted(made, monkeypatch):
+    texts, df = made
+    rows = lambda d: sorted((tuple(r) for r in d.collect()), key=repr)
+    whole, text = rows(scan.findings(df)), rows(scan.repaired(df).where("text is not null"))
+    monkeypatch.setattr(scan, "MOST_WORDS", 12)
+    few = rows(scan.findings(df))
+    want = {(d, *f) for d, (_, truth) in texts.items() for f in truth}
+    assert few == whole and len(want & {tuple(x) for x in few}) / len(want) > 0.97
+    assert rows(scan.repaired(df).where("text is not null")) == text
+    assert scan.repaired(df).where("text is null").count() == scan.repaired(df).where("doc_id = 'null'").count()
+
+
+def test_least_count_does_not_grow_with_the_corpus(spark, monkeypatch):
+    counts = spark.createDataFrame([("the", 900_000_000), ("specimen", 5), ("once", 3)], "word string, n long")
+    monkeypatch.setattr(scan, "word_counts", lambda texts: counts)
+    lx = scan.learn(spark.createDataFrame([("d", "the specimen")], "doc_id string, markdown_text string"))
+    assert set(lx.counts) == {"the", "specimen"} and lx.repair("spccimen", lambda: []) == "specimen"
+
+
+def test_trusted_table_is_trusted_of_all_words(spark):
+    r = random.Random(8)
+    counts = {w: r.choice([3, 4, 9, 60, 800, 10_000, 200_000]) for _ in range(3000) for w in ["".join(r.choice("celirnmdtf01") for _ in range(r.randint(2, 4)))]}
+    # A chain: the third stands as the second falls.
+    counts |= {"modem": 300_000, "rnodem": 2000, "rnodern": 100, "ioem": 144 * 144, "loem": 144 * 12, "locm": 144}
+    got = scan.trusted_table(spark.createDataFrame(list(counts.items()), "word string, n long"))
+    assert {x.word: x.n for x in got.collect()} == scan.trusted(counts)
