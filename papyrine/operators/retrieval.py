@@ -29,6 +29,12 @@ EXCLUDED_CONTENT, EXCLUDED_SECTION = ("reference", "front_matter"), ("references
 #: Weights of section names found in a heading.
 SECTION_WEIGHTS = (("document metadata/abstract", -3), ("conclusion", 4), ("result", 3), ("discussion", 3), ("abstract", -1), ("method", -1), ("introduction", -1))
 CANDIDATES = 30
+#: Chunks searched for a question: so many for each answer, so many at least; more where tables may answer.
+SEARCHED, SEARCHED_TABLES = (8, 40), (12, 60)
+#: Words that tell nothing of a table's subject, and patterns of a table of metrics: a metric and a quantity.
+TABLE_STOP_WORDS = "which indexed paper papers study studies document documents contains contain table tabular results result data reported report findings finds obtained".split()
+METRIC_WORDS = r"\b(?:sensitivity|specificity|accuracy|agreement|detection rate|false positive|false negative|ppv|npv|auc|roc|lod|limit of detection)\b"
+METRIC_VALUES = r"\b\d+(?:\.\d+)?\s*%|\b\d+\.\d+\b|\b(?:positive predictive|negative predictive|ppv|npv|auc|roc|lod|limit of detection)\b"
 
 
 @dataclass(frozen=True)
@@ -99,6 +105,51 @@ def lexical_candidates(planned: DataFrame, chunks: DataFrame, k: int = CANDIDATE
     return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+def _is_table() -> Column:
+    return F.coalesce(F.col("content_role") == "table", F.lit(False))
+
+
+def searched(planned: DataFrame, chunks: DataFrame, limit: int = 5, k: int | None = None) -> DataFrame:
+    """As ``lexical_candidates``, of the chunks whose role each question admits.
+
+    Tables are admitted where a question prefers them, and nothing else where it requires
+    tables of metrics; where it requires tables, a chunk is a table or names one (one of those
+    asked for, if any). These conditions come before the places are given, so that no place goes
+    to a chunk that is dropped. ``k`` is the number of places, by kind of question where None.
+    """
+    refs = F.coalesce(F.col("referenced_table_indices"), F.array().cast("array<int>")) if "referenced_table_indices" in chunks.columns else F.array().cast("array<int>")
+    words = chunks.select("id", _is_table().alias("table"), refs.alias("refs"), F.explode(tx.token_set(F.col("content"), 3)).alias("t"))
+    most = F.when(F.col("prefers_tables"), max(limit * SEARCHED_TABLES[0], SEARCHED_TABLES[1])).otherwise(max(limit * SEARCHED[0], SEARCHED[1])) if k is None else F.lit(k)
+    asked = planned.select("query_id", "prefers_tables", "requires_tables", "requires_metric_tables", "table_indices", most.alias("most"), F.explode("tokens").alias("t"))
+    named = F.when(F.size("table_indices") > 0, F.arrays_overlap("refs", "table_indices")).otherwise(F.size("refs") > 0)
+    admitted = F.when(F.col("table"), F.col("prefers_tables")).otherwise(~F.col("requires_metric_tables") & (~F.col("requires_tables") | named))
+    pairs = words.join(asked, "t").where(admitted).groupBy("query_id", "id").agg(F.count("*").alias("shared"), F.first("most").alias("most"))
+    w = W.partitionBy("query_id").orderBy(F.desc("shared"), "id")
+    # The fixed bound, which none of the numbers passes, lets tasks keep so many rows first.
+    bound = k if k is not None else max(limit * SEARCHED_TABLES[0], SEARCHED_TABLES[1], limit * SEARCHED[0], SEARCHED[1])
+    return pairs.withColumn("place", F.row_number().over(w)).where((F.col("place") <= bound) & (F.col("place") <= F.col("most"))).drop("most")
+
+
+def fitting(candidates: DataFrame) -> DataFrame:
+    """Searched chunks that fit what their question asks of tables.
+
+    Text that is a written-out table is dropped where no table is preferred, text that names
+    tables where tables are required and too few of the question's words are there, and tables
+    without metrics where those are required.
+    """
+    content = F.coalesce(F.col("content"), F.lit(""))
+    bars = F.length(content) - F.length(F.replace(content, F.lit("|"), F.lit("")))
+    rows = F.size(F.filter(F.split(content, "\n"), lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit(""))) >= 2))
+    embedded = (bars >= 6) & (content.rlike(r"\|\s*-{3,}") | (rows >= 3))
+    subject = F.array_except("tokens", F.array(*map(F.lit, TABLE_STOP_WORDS)))
+    shared = F.size(F.array_intersect(subject, tx.token_set(content, 3)))
+    linked = (F.size("table_indices") > 0) | (shared >= F.least(F.lit(3), F.size(subject)))
+    text = F.lower(tx.clean_markdown(F.concat_ws(" ", content, F.coalesce(F.col("parent_header"), F.lit("")))))
+    metric = text.rlike(METRIC_WORDS) & text.rlike(METRIC_VALUES)
+    fits = F.when(_is_table(), ~F.col("requires_metric_tables") | metric).otherwise((F.col("prefers_tables") | ~embedded) & (~F.col("requires_tables") | linked))
+    return candidates.where(fits)
+
+
 def priority(candidates: DataFrame, families: Sequence[Family] = FAMILIES) -> DataFrame:
     """Adds header_bonus, word_bonus and role_bonus, by which candidates are ordered.
 
@@ -176,26 +227,25 @@ def select(ordered: DataFrame, limit: int = 5) -> DataFrame:
     return ordered.select(*cols).groupBy("query_id").applyInPandas(lambda pdf: _select(pdf, limit), schema)
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, limit: int = 5, k: int = CANDIDATES, families: Sequence[Family] = FAMILIES) -> DataFrame:
+def retrieve(queries: DataFrame, chunks: DataFrame, limit: int = 5, k: int | None = None, families: Sequence[Family] = FAMILIES) -> DataFrame:
     """Answers of each question from words it shares with chunks: query_id, rank, id, doc_id, …
 
     Chunks need id, content, doc_id, parent_header, chunk_type, parent_id, content_role,
-    section_role, is_low_value; ids must be unique (current rows only).
+    section_role, is_low_value, and may have referenced_table_indices; ids must be unique (current rows only).
     """
     planned = plan_queries(queries, families=families)
     pool = eligible(chunks)
-    found = lexical_candidates(planned, pool, k)
-    full = found.join(pool, "id").join(planned.drop("table_indices"), "query_id")
-    full = full.where(F.col("prefers_tables") | ~F.coalesce(F.col("content_role") == "table", F.lit(False)))
+    found = searched(planned, pool, limit, k)
+    full = fitting(found.join(pool, "id").join(planned, "query_id")).drop("table_indices")
     return select(ranked(priority(full, families)), limit)
 
 
-def stages(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES) -> dict[str, DataFrame]:
+def stages(queries: DataFrame, chunks: DataFrame, k: int | None = None) -> dict[str, DataFrame]:
     """The candidates after each stage, for explanation."""
     planned = plan_queries(queries)
     pool = eligible(chunks)
-    found = lexical_candidates(planned, pool, k)
-    full = found.join(pool, "id").join(planned, "query_id")
+    found = searched(planned, pool, k=k)
+    full = fitting(found.join(pool, "id").join(planned, "query_id"))
     order = ranked(priority(full))
     return {"planned": planned, "initial": found, "ranked": order, "final": select(order)}
 

@@ -202,3 +202,22 @@ def test_selection_spreads_and_drops_repeats(spark):
     df = spark.createDataFrame(rows, "query_id string, id string, doc_id string, parent_id string, parent_header string, content string, chunk_type string, position int")
     got = [r.id for r in retrieval.select(df, 5).orderBy("rank").collect()]
     assert got[0] == "c0" and "c3" not in got and len(got) == len(set(got))
+
+
+def test_roles_are_asked_for_before_places_are_given(spark):
+    body = "potassium levels were measured in every ward of the hospital"
+    schema = "id string, content string, doc_id string, parent_header string, chunk_type string, parent_id string, content_role string, section_role string, is_low_value boolean, referenced_table_indices array<int>"
+    chunk = lambda i, text, role, refs=None: (i, text, f"d{i}", "Results", role, i, role, "body", False, refs)
+    rows = [chunk(f"a{n:03}", f"{body} | {n}", "table") for n in range(80)]
+    rows += [chunk("t1", f"{body} and of clinics one", "text"), chunk("t2", "the potassium levels named in table 2 were measured there", "text", [2]), chunk("t3", "the potassium levels named in table 3 were measured there", "text", [3])]
+    rows += [chunk("z1", "potassium levels and sensitivity of the assay | 91.5 % | 88.1 %", "table")]
+    chunks = spark.createDataFrame(rows, schema)
+    asked = {"text": "were potassium levels measured in every ward hospital", "two": "which potassium levels of table 2 were measured", "metric": "which table has potassium levels with sensitivity"}
+    q = spark.createDataFrame(list(asked.items()), "query_id string, query string")
+    got: dict = {}
+    for r in retrieval.retrieve(q, chunks).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    assert "t1" in got["text"] and not any(i[0] in "az" for i in got["text"])
+    assert got["metric"] == {"z1"}
+    first = {k: {r.id for r in retrieval.searched(retrieval.plan_queries(q), chunks).where(F.col("query_id") == k).collect()} for k in asked}
+    assert len(first["two"]) == 60 and not first["two"] & {"t1", "t3"} and first["text"] == {"t1", "t2", "t3"}
