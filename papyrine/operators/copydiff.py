@@ -7,8 +7,9 @@ sides' tables cancels every row that both hold alike, and peeling what is left r
 key hashes of the rest, whose rows alone are then fetched and compared field by field.
 
 Only the cells, of fixed number per bucket, meet across the two copies. A bucket with more
-differences than its cells can reveal isn't peeled; all its keys are fetched instead, so
-the result is the same whatever the tables' size.
+differences than its cells can reveal isn't peeled; its rows alone go through finer buckets
+again, and those of a bucket that still can't be peeled are all fetched, so the result is
+the same whatever the tables' size. ``peelings`` reports how many buckets that were.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from papyrine.sources.tables import durable
 #: peeled together in one call. A bucket so reveals up to about 1.2 * CELLS * 3 / 1.5
 #: elements; a row that differs counts twice.
 KEYS_PER_BUCKET, CELLS, BUCKETS_AT_ONCE = 512, 96, 64
+#: Peelings at most, and how many times finer the buckets of each further one are.
+PEELINGS, FINER = 3, 16
 _LOW31 = 0x7FFFFFFF
 
 
@@ -125,25 +128,66 @@ def peel(pdf: pd.DataFrame, cells: int) -> pd.DataFrame:
     )
 
 
+def _peeled(left: DataFrame, right: DataFrame, buckets: int, cells: int) -> DataFrame:
+    """bucket, k1, failed of one peeling of two sides' rows."""
+    both = lookup_cells(left, buckets, cells, 1).unionAll(lookup_cells(right, buckets, cells, -1))
+    summed = both.groupBy("bucket", "cell").agg(F.sum("n").alias("n"), *[F.bit_xor(x).alias(x) for x in ("e1", "c1", "k1")])
+    live = summed.where("n <> 0 or e1 <> 0 or c1 <> 0 or k1 <> 0")
+    group = F.floor(F.col("bucket") / BUCKETS_AT_ONCE).cast("long")
+    return durable(live.groupBy(group.alias("g")).applyInPandas(lambda pdf: peel(pdf, cells), "bucket long, k1 long, failed boolean"), "peeled")
+
+
+def peelings(left: DataFrame, right: DataFrame, cells: int = CELLS, keys_per_bucket: int = KEYS_PER_BUCKET) -> tuple[list[DataFrame], DataFrame | None, list[tuple[int, int, int]]]:
+    """Key hashes that peeling revealed, rows' buckets that failed to the last, and a report.
+
+    ``left`` and ``right`` are stored. The first number of buckets follows from the larger
+    side, so an empty side changes nothing. The second result (bucket, with the number of
+    buckets it belongs to in the report's last entry) is None where all could be peeled;
+    report entries are (number of the peeling, buckets, failed buckets).
+    """
+    buckets = max(1, max(left.count(), right.count()) // keys_per_bucket)
+    found: list[DataFrame] = []
+    report: list[tuple[int, int, int]] = []
+    failed = None
+    for k in range(PEELINGS):
+        if failed is not None:
+            a, b = (_in_buckets(x, failed, buckets) for x in (left, right))
+            buckets *= FINER
+        else:
+            a, b = left, right
+        got = _peeled(a, b, buckets, cells)
+        found.append(got.where("not failed").select("k1"))
+        failed = got.where("failed").select("bucket").distinct()
+        n = failed.count()
+        report.append((k + 1, buckets, n))
+        if not n:
+            return found, None, report
+    return found, failed, report
+
+
+def _in_buckets(rows: DataFrame, chosen: DataFrame, buckets: int) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod("k1", F.lit(buckets))).join(chosen, "bucket", "left_semi").drop("bucket")
+
+
 def differing(left: DataFrame, right: DataFrame, fields: Sequence[str], cells: int = CELLS, keys_per_bucket: int = KEYS_PER_BUCKET) -> DataFrame:
     """Full outer pairs of current rows whose element isn't on both sides.
 
     ``left`` and ``right`` come from ``current_rows``. Columns: scope, key, in_left,
-    in_right, and l_/r_ of each field. Equal rows never reach the final join.
+    in_right, and l_/r_ of each field. Rows that both hold alike never reach the final join,
+    but for those of buckets that couldn't be peeled.
     """
     left, right = durable(left, "copyleft"), durable(right, "copyright")
-    buckets = max(1, left.count() // keys_per_bucket)
-    both = lookup_cells(left, buckets, cells, 1).unionAll(lookup_cells(right, buckets, cells, -1))
-    summed = both.groupBy("bucket", "cell").agg(F.sum("n").alias("n"), *[F.bit_xor(x).alias(x) for x in ("e1", "c1", "k1")])
-    live = summed.where("n <> 0 or e1 <> 0 or c1 <> 0 or k1 <> 0")
-    group = F.floor(F.col("bucket") / BUCKETS_AT_ONCE).cast("long")
-    peeled = durable(live.groupBy(group.alias("g")).applyInPandas(lambda pdf: peel(pdf, cells), "bucket long, k1 long, failed boolean"), "peeled")
-    failed = peeled.where("failed").select("bucket").distinct()
-    keys = peeled.where("not failed").select("k1").distinct()
+    found, failed, report = peelings(left, right, cells, keys_per_bucket)
+    keys = found[0]
+    for f in found[1:]:
+        keys = keys.unionByName(f)
+    keys = keys.distinct()
 
     def fetch(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("bucket", F.pmod("k1", F.lit(buckets)))
-        return rows.join(keys, "k1", "left_semi").unionByName(rows.join(failed, "bucket", "left_semi"))
+        out = rows.join(keys, "k1", "left_semi")
+        if failed is None:
+            return out
+        return out.unionByName(_in_buckets(rows, failed, report[-1][1]).join(keys, "k1", "left_anti"))
 
     a, b = fetch(left).alias("a"), fetch(right).alias("b")
     on = F.col("a.scope").eqNullSafe(F.col("b.scope")) & (F.col("a.key") == F.col("b.key"))
@@ -173,6 +217,15 @@ COUNTS = {"chunk_count": "chunks", "text_chunk_count": "text_chunks", "table_chu
 FIELDS = (*COUNTS, "source_sha256")
 
 
+def _both_sides(manifest: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
+    one = {m: number_text(F.col(m)) for m in COUNTS} | {"source_sha256": folded(F.col("source_sha256"))}
+    two = {m: number_text(F.col(r)) for m, r in COUNTS.items()} | {"source_sha256": folded(F.col("source_sha256"))}
+    return (
+        current_rows(manifest, "collection", folded(F.col("doc_id")), one, "updated_at", "entry_id"),
+        current_rows(registry, "collection", folded(F.col("doc_id")), two, "updated_at", "entry_id"),
+    )
+
+
 def manifest_registry_differences(manifest: DataFrame, registry: DataFrame, cells: int = CELLS, keys_per_bucket: int = KEYS_PER_BUCKET) -> DataFrame:
     """Every entry missing on one side and every differing field of manifest and registry.
 
@@ -182,9 +235,12 @@ def manifest_registry_differences(manifest: DataFrame, registry: DataFrame, cell
     null collection; repeated rows count once; among rows with the same updated_at that of
     the larger entry_id counts; an empty side makes every entry of the other missing.
     """
-    one = {m: number_text(F.col(m)) for m in COUNTS} | {"source_sha256": folded(F.col("source_sha256"))}
-    two = {m: number_text(F.col(r)) for m, r in COUNTS.items()} | {"source_sha256": folded(F.col("source_sha256"))}
-    a = current_rows(manifest, "collection", folded(F.col("doc_id")), one, "updated_at", "entry_id")
-    b = current_rows(registry, "collection", folded(F.col("doc_id")), two, "updated_at", "entry_id")
+    a, b = _both_sides(manifest, registry)
     out = field_differences(differing(a, b, FIELDS, cells, keys_per_bucket), FIELDS, "missing_in_manifest", "missing_in_registry")
     return out.select(F.col("scope").alias("collection"), F.col("key").alias("doc_id"), "field", F.col("left").alias("manifest_value"), F.col("right").alias("registry_value"))
+
+
+def peeling_report(manifest: DataFrame, registry: DataFrame, cells: int = CELLS, keys_per_bucket: int = KEYS_PER_BUCKET) -> DataFrame:
+    """peeling, buckets, failed_buckets: how far the lookup tables revealed the differences."""
+    a, b = (durable(x, "copy") for x in _both_sides(manifest, registry))
+    return manifest.sparkSession.createDataFrame(peelings(a, b, cells, keys_per_bucket)[2], "peeling int, buckets long, failed_buckets long")

@@ -1,10 +1,11 @@
 """Reading records whose fields drift from file to file into one table.
 
 Records are parsed into variants. Per file, the fields and the types of their values are
-counted (a summary far smaller than the records); vanished and new fields of consecutive
-files are compared by value, document by document, to tell a renaming from a removal and
-an addition; and a fold over a collection's summary gives the list of changes and, for
-each file, the meaning of each field name. Ingestion enforces the target schema: what fits
+counted where they are read (a summary far smaller than the records). Only where a field
+vanished and another came at once are files read again, and only those fields' values,
+as hashes, are compared document by document, to tell a renaming from a removal and an
+addition. A fold over a collection's summary gives the list of changes and, for each
+file, the meaning of each field name. Ingestion enforces the target schema: what fits
 goes to typed columns, every unknown or uncastable field is kept in a rescue column as
 JSON, fields whose renaming is approved are promoted, and rescued values are replayed into
 the typed columns.
@@ -16,6 +17,7 @@ from collections.abc import Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from papyrine.sources.tables import durable
@@ -56,26 +58,16 @@ def json_type(variant: Column) -> Column:
 
 
 def records(files: DataFrame) -> DataFrame:
-    """Rows whose payload is a JSON object, with it as variant ``v``; a row of a file that
-    was delivered again counts once (the latest arrival of each line)."""
-    v = F.try_parse_json("payload")
-    good = files.select("row_id", "collection", "file_name", "written_at", "line_no", v.alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
-    return good
-
-
-def field_values(files: DataFrame) -> DataFrame:
-    """One row per record and field: collection, file_name, written_at, doc, field, kind, value (JSON)."""
-    spark = files.sparkSession
-    rec = records(files).withColumn("doc", F.try_variant_get("v", "$.doc_id", "string"))
-    exploded = rec.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
-    return exploded.select(
-        "collection", "file_name", "written_at", "row_id", "doc", F.col("key").alias("field"), json_type(F.col("value")).alias("kind"), F.to_json("value").alias("value")
-    )
+    """Rows whose payload is a JSON object, with it as variant ``v`` in its place."""
+    kept = [c for c in files.columns if c != "payload"]
+    return files.select(*kept, F.try_parse_json("payload").alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
 
 
-def file_summary(values: DataFrame) -> DataFrame:
+def file_summary(files: DataFrame) -> DataFrame:
     """Per file and field: the type of most non-null values (ties: the first by name), or null."""
-    counts = values.groupBy("collection", "file_name", "written_at", "field", "kind").agg(F.count("*").alias("n"))
+    rec = records(files.select("collection", "file_name", "written_at", "payload"))
+    each = rec.lateralJoin(rec.sparkSession.tvf.variant_explode(F.col("v").outer()))
+    counts = each.groupBy("collection", "file_name", "written_at", F.col("key").alias("field"), json_type(F.col("value")).alias("kind")).agg(F.count("*").alias("n"))
     # The most frequent kind wins; a null kind (a null value) loses to any.
     order = F.struct(F.col("kind").isNotNull().alias("a"), F.col("n").alias("b"), (-F.ascii(F.col("kind"))).alias("c"), F.col("kind"))
     return counts.groupBy("collection", "file_name", "written_at", "field").agg(F.max(order).alias("o"), F.sum("n").alias("rows")).select(
@@ -83,39 +75,48 @@ def file_summary(values: DataFrame) -> DataFrame:
     )
 
 
-def file_order(summary: DataFrame) -> DataFrame:
-    """Files with their place ``seq`` in their collection, by written_at, then name."""
+def in_order(summary: DataFrame) -> DataFrame:
+    """The summary with the place ``seq`` of each file in its collection, by written_at, then name."""
     files = summary.select("collection", "file_name", "written_at").distinct()
-    from pyspark.sql import Window as W
-
     w = W.partitionBy("collection").orderBy("written_at", "file_name")
-    return files.withColumn("seq", F.row_number().over(w))
+    return summary.join(files.select("collection", "file_name", F.row_number().over(w).alias("seq")), ["collection", "file_name"])
+
+
+def boundaries(summary: DataFrame) -> DataFrame:
+    """What to compare in each file: collection, file_name, wanted (array of seq, side, field).
+
+    ``seq`` is the later file's place; side 0 is a field that vanished before it, side 1 one
+    that came with it. Places with one side only need no comparison.
+    """
+    w = W.partitionBy("collection", "field").orderBy("seq")
+    x = summary.where("field is not null").select("collection", "file_name", "field", "seq", F.lead("seq").over(w).alias("next"), F.lag("seq").over(w).alias("before"), F.max("seq").over(W.partitionBy("collection")).alias("last"))
+    gone = F.when((F.col("seq") < F.col("last")) & ~F.col("next").eqNullSafe(F.col("seq") + 1), F.struct((F.col("seq") + 1).alias("seq"), F.lit(0).alias("side"), "field"))
+    come = F.when((F.col("seq") > 1) & ~F.col("before").eqNullSafe(F.col("seq") - 1), F.struct("seq", F.lit(1).alias("side"), "field"))
+    each = x.select("collection", "file_name", F.explode(F.filter(F.array(gone, come), lambda e: e.isNotNull())).alias("e"))
+    at = W.partitionBy("collection", "e.seq")
+    both = each.withColumn("sides", F.max("e.side").over(at) - F.min("e.side").over(at)).where("sides = 1")
+    return both.groupBy("collection", "file_name").agg(F.collect_list("e").alias("wanted"))
 
 
-def renames(values: DataFrame, summary: DataFrame, order: DataFrame) -> DataFrame:
+def renames(files: DataFrame, summary: DataFrame) -> DataFrame:
     """Vanished and new fields of consecutive files whose values agree for most documents.
 
     Columns collection, seq (of the later file), old, new, share. A vanished field is
-    paired with the new one of the highest agreement, and the reverse.
+    paired with the new one of the highest agreement, and the reverse. Of a document with
+    several records in a file the last to arrive counts.
     """
-    s = summary.join(order.select("collection", "file_name", "seq"), ["collection", "file_name"])
-    present = s.select("collection", "seq", "field")
-    nxt = present.select("collection", (F.col("seq") - 1).alias("seq"), "field")
-    prev = present.select("collection", (F.col("seq") + 1).alias("seq"), "field")
-    last = order.groupBy("collection").agg(F.max("seq").alias("last"))
-    gone = present.join(nxt, ["collection", "seq", "field"], "left_anti").join(last, "collection").where("seq < last").select("collection", "seq", "field")
-    come = present.join(prev, ["collection", "seq", "field"], "left_anti").where("seq > 1")
-    v = (
-        values.where("kind is not null and doc is not null")
-        .join(order.select("collection", "file_name", "seq"), ["collection", "file_name"])
-        .select("collection", "seq", "field", "doc", "row_id", "value")
-    )
-    one = lambda w: w.groupBy("collection", "seq", "field", "doc").agg(F.max_by("value", "row_id").alias("value"))
-    a = one(v.join(gone, ["collection", "seq", "field"], "left_semi")).select("collection", (F.col("seq") + 1).alias("seq"), "doc", F.col("field").alias("old"), F.col("value").alias("x"))
-    b = one(v.join(come, ["collection", "seq", "field"], "left_semi")).select("collection", "seq", "doc", F.col("field").alias("new"), F.col("value").alias("y"))
-    agreed = a.join(b, ["collection", "seq", "doc"]).groupBy("collection", "seq", "old", "new").agg(F.avg((F.col("x") == F.col("y")).cast("double")).alias("share"), F.count("*").alias("n"))
-    from pyspark.sql import Window as W
-
+    rec = records(files.select("row_id", "collection", "file_name", "payload").join(boundaries(summary), ["collection", "file_name"]))
+    doc = F.try_variant_get("v", "$.doc_id", "string")
+    v = rec.select("collection", "row_id", doc.alias("doc"), F.expr("cast(v as map<string, variant>)").alias("m"), F.explode("wanted").alias("e")).where("doc is not null")
+    v = v.select("collection", "row_id", "doc", "e", F.col("m")[F.col("e.field")].alias("x")).where(F.col("x").isNotNull() & ~F.is_variant_null("x"))
+    text = F.to_json("x")
+    v = v.select("collection", F.col("e.seq").alias("seq"), "doc", F.col("e.side").alias("side"), F.col("e.field").alias("field"), "row_id", F.struct(F.xxhash64(text), F.xxhash64(F.lit(1), text)).alias("h"))
+    one = v.groupBy("collection", "seq", "doc", "side", "field").agg(F.max_by("h", "row_id").alias("h"))
+    # One value for each field that changed there, so a document's list is as short as its record.
+    held = one.groupBy("collection", "seq", "doc").agg(F.collect_list(F.struct("side", "field", "h")).alias("all"))
+    olds, news = F.filter("all", lambda e: e["side"] == 0), F.filter("all", lambda e: e["side"] == 1)
+    pairs = F.flatten(F.transform(olds, lambda o: F.transform(news, lambda n: F.struct(o["field"].alias("old"), n["field"].alias("new"), (o["h"] == n["h"]).alias("same")))))
+    agreed = held.select("collection", "seq", F.explode(pairs).alias("p")).groupBy("collection", "seq", "p.old", "p.new").agg(F.avg(F.col("p.same").cast("double")).alias("share"), F.count("*").alias("n"))
     best = lambda of, other: W.partitionBy("collection", "seq", of).orderBy(F.desc("share"), F.desc("n"), other)
     ranked = agreed.where("share > 0.5").withColumns({"i": F.row_number().over(best("old", "new")), "j": F.row_number().over(best("new", "old"))})
     return ranked.where("i = 1 and j = 1").select("collection", "seq", "old", "new", "share")
@@ -162,11 +163,9 @@ def history(files: DataFrame) -> DataFrame:
     The fold sees a row per file and field, not the records, so a collection that holds a
     third of all rows stays small there.
     """
-    values = durable(field_values(files), "fields")
-    summary = durable(file_summary(values), "summary")
-    order = file_order(summary)
-    moved = renames(values, summary, order).select("collection", "seq", F.col("new").alias("field"), F.col("old").alias("renamed_from"))
-    s = summary.join(order.select("collection", "file_name", "seq"), ["collection", "file_name"]).join(moved, ["collection", "seq", "field"], "left")
+    summary = durable(in_order(file_summary(files)), "summary")
+    moved = renames(files, summary).select("collection", "seq", F.col("new").alias("field"), F.col("old").alias("renamed_from"))
+    s = summary.join(moved, ["collection", "seq", "field"], "left")
     schema = "collection string, file_name string, old_field string, new_field string, change string"
     return s.select("collection", "file_name", "seq", "field", "kind", "renamed_from").groupBy("collection").applyInPandas(_fold, schema)
 
@@ -192,16 +191,20 @@ def ingest(files: DataFrame, past: DataFrame | None = None, target: Mapping[str,
     that became an object keeps its column. A null value gives null. A value that can't be
     cast without loss, and any unknown field, stays in ``_rescued`` as JSON text; it is
     null where nothing was rescued. Rows that are no records give a row of nulls with the
-    payload itself rescued, so that nothing is lost. No record leaves its partition but
-    for the join with its file's few field meanings.
+    payload itself rescued, so that nothing is lost. A line of a file that was delivered again
+    counts once, by its latest arrival; rows without a line number all count. No record leaves
+    its partition but for the joins with its file's few field meanings and the outdated rows.
     """
     past = history(files) if past is None else past
     means = past.where("change = 'means' and old_field <> new_field")
     if approved is not None:
         means = means.where(approved)
     mapping = means.groupBy("collection", "file_name").agg(F.map_from_entries(F.collect_list(F.struct("old_field", "new_field"))).alias("names"))
+    w = W.partitionBy("collection", "file_name", "line_no").orderBy(F.desc("row_id"))
+    lines = files.where("line_no is not null").select("row_id", "collection", "file_name", "line_no")
+    outdated = lines.withColumn("r", F.row_number().over(w)).where("r > 1").select("row_id")
     v = F.try_parse_json("payload")
-    base = files.withColumn("v", v).join(mapping, ["collection", "file_name"], "left")
+    base = files.select("row_id", "collection", "file_name", "written_at", "line_no", "payload").join(outdated, "row_id", "left_anti").withColumn("v", v).join(mapping, ["collection", "file_name"], "left")
     is_record = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
     base = base.withColumn("raw", F.when(is_record, F.expr("cast(v as map<string, variant>)")))
 
@@ -214,10 +217,7 @@ def ingest(files: DataFrame, past: DataFrame | None = None, target: Mapping[str,
     typed, kept = [], []
     for name, kind in target.items():
         value = F.col("m")[name]
-        inner = F.coalesce(F.when(F.schema_of_variant(value).startswith("OBJECT"), F.try_variant_get(value, "$.value", "variant")), value)
-        cast = F.try_variant_get(inner, "$", kind)
-        whole = F.schema_of_variant(inner).startswith("OBJECT") | F.schema_of_variant(inner).startswith("ARRAY")
-        fits = F.when(~F.coalesce(whole, F.lit(False)), cast)
+        fits = _fitting(value, kind)
         typed.append(fits.alias(name))
         kept.append(F.when(value.isNotNull() & ~F.is_variant_null(value) & fits.isNull(), F.lit(name)))
     failed = F.filter(F.array(*kept), lambda x: x.isNotNull())
@@ -227,3 +227,32 @@ def ingest(files: DataFrame, past: DataFrame | None = None, target: Mapping[str,
         F.when(is_record & (F.size(rest) > 0), F.to_json(rest)).when(~is_record, F.to_json(F.struct(F.col("payload").alias("_unreadable")))).alias("_rescued"),
     )
 
+
+def _fitting(value: Column, kind: str) -> Column:
+    """A variant value in a column's type, or null where it can't be cast without loss."""
+    inner = F.coalesce(F.when(F.schema_of_variant(value).startswith("OBJECT"), F.try_variant_get(value, "$.value", "variant")), value)
+    whole = F.schema_of_variant(inner).startswith("OBJECT") | F.schema_of_variant(inner).startswith("ARRAY")
+    return F.when(~F.coalesce(whole, F.lit(False)), F.try_variant_get(inner, "$", kind))
+
+
+def replay(table: DataFrame, approved: Mapping[str, str], target: Mapping[str, str] = TARGET) -> DataFrame:
+    """An ingested table after fields were approved later: rescued values go to their columns.
+
+    ``approved`` maps field names to columns of ``target``. A rescued value moves where its
+    column is null and takes it without loss; all else stays rescued. The raw files aren't
+    read again, and no row moves.
+    """
+    unknown = sorted(set(approved.values()) - set(target))
+    if unknown:
+        raise ValueError(f"no such columns: {unknown}")
+    held = F.expr("cast(try_parse_json(_rescued) as map<string, variant>)")
+    out = table.withColumn("_held", F.when(F.schema_of_variant(F.try_parse_json("_rescued")).startswith("OBJECT"), held))
+    columns, moved = {}, []
+    for name, column in approved.items():
+        value = _fitting(F.col("_held")[name], target[column])
+        free = columns.get(column, F.col(column))
+        moved.append(F.when(free.isNull() & value.isNotNull(), F.lit(name)))
+        columns[column] = F.coalesce(free, value)
+    out = out.withColumns({**columns, "_moved": F.filter(F.array(*moved), lambda x: x.isNotNull())})
+    rest = F.map_filter("_held", lambda k, x: ~F.array_contains("_moved", k))
+    return out.withColumn("_rescued", F.when(F.size("_moved") == 0, F.col("_rescued")).when(F.size(rest) > 0, F.to_json(rest))).drop("_held", "_moved")

@@ -24,6 +24,11 @@ def p2_summary(spark: SparkSession, d: str) -> DataFrame:
     return p2_values(spark, d).groupBy("collection", "field").agg(F.count("*").alias("n"))
 
 
+def p2_peeling(spark: SparkSession, d: str) -> DataFrame:
+    """Buckets of the lookup tables, and how many couldn't be peeled, by peeling."""
+    return copydiff.peeling_report(load(spark, d, "manifest_docs"), load(spark, d, "registry_docs"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Every change of fields from file to file."""
     return drift.changes(load(spark, d, "manifest_files"))
@@ -34,7 +39,7 @@ def p3_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.ingest(load(spark, d, "manifest_files"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_values, p2_summary, p3_found, p3_table)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_values, p2_summary, p2_peeling, p3_found, p3_table)}
 
 _NUM = "case when trim(regexp_replace({c}, '\\s+', ' ', 'g')) <> '' then coalesce(cast(try_cast(trim({c}) as decimal(38,9)) as varchar), 'text:' || lower(trim({c}))) end"
 _FOLD = "nullif(trim(regexp_replace(lower({c}), '\\s+', ' ', 'g')), '')"

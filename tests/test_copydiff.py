@@ -74,3 +74,13 @@ def test_peeling_reveals_what_was_added():
     pdf = pd.DataFrame([(5, p, *v) for p, v in cells.items()], columns=["bucket", "cell", "n", "e1", "c1", "k1"])
     got = cd.peel(pdf, 64)
     assert not got.failed.any() and sorted(got.k1) == sorted(k.tolist())
+
+
+def test_failed_buckets_are_peeled_again_with_finer_ones(spark):
+    m, r = rows(spark, [], [(i, "c", f"d{i}", "1", "1", "0", "h") for i in range(3000)])
+    report = [tuple(x) for x in cd.peeling_report(m, r).collect()]
+    assert report[0] == (1, 5, 5) and report[-1][2] == 0
+    # Too few cells at any fineness: every row is fetched, and the result is whole.
+    few = [tuple(x) for x in cd.peeling_report(m, r, cells=1, keys_per_bucket=3000).collect()]
+    assert len(few) == cd.PEELINGS and few[-1][2] > 0
+    assert cd.manifest_registry_differences(m, r, cells=1, keys_per_bucket=3000).count() == 3000

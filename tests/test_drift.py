@@ -77,3 +77,25 @@ def test_renaming_that_is_not_approved_stays_rescued(spark):
     spec = [("c", "f1", 1, docs(3, chunk_count=lambda i: i)), ("c", "f2", 2, docs(3, chunks=lambda i: i))]
     got = drift.ingest(files(spark, spec), approved=F.lit(False)).where("file_name = 'f2'").collect()
     assert all(r.chunk_count is None and "chunks" in json.loads(r._rescued) for r in got)
+
+
+def test_replay_moves_what_was_approved_later(spark):
+    from pyspark.sql import functions as F
+
+    spec = [("c", "f1", 1, docs(3, chunk_count=lambda i: i)), ("c", "f2", 2, docs(3, chunks=lambda i: i if i else "n/a", odd=1))]
+    held = drift.ingest(files(spark, spec), approved=F.lit(False))
+    got = {(r.file_name, r.doc_id): r for r in drift.replay(held, {"chunks": "chunk_count"}).collect()}
+    assert got["f2", "d2"].chunk_count == 2 and json.loads(got["f2", "d2"]._rescued) == {"odd": 1}
+    assert got["f2", "d0"].chunk_count is None and json.loads(got["f2", "d0"]._rescued) == {"chunks": "n/a", "odd": 1}
+    assert got["f1", "d1"].chunk_count == 1 and got["f1", "d1"]._rescued is None
+
+
+def test_lines_delivered_again_count_once(spark):
+    f = files(spark, [("c", "f1", 1, docs(3, parser="a")), ("c", "f1", 1, docs(2, parser="b"))])
+    got = sorted((r.doc_id, r.parser) for r in drift.ingest(f).collect())
+    assert got == [("d0", "b"), ("d1", "b"), ("d2", "a")]
+
+
+def test_many_records_of_one_document(spark):
+    spec = [("c", "f1", 1, [{"doc_id": "d", "a": i} for i in range(50)] + docs(3, a=lambda i: i)), ("c", "f2", 2, [{"doc_id": "d", "b": i} for i in range(50)] + docs(3, b=lambda i: i))]
+    assert changes(spark, spec) == [("f2", "a", "b", "renamed")]
