@@ -3,8 +3,10 @@
 The coarsest kind of boundary that leaves only parts within the limit is found first:
 paragraph, line, sentence, else hard. Then the least number of pieces is computed, equal
 length targets are placed, and each is snapped to the strongest boundary near it; when a
-piece fails the limit the number of pieces grows by one, and when no number works the cuts
-fall at the last boundary within the limit, which always does. Only oversized items reach
+piece fails the limit the number of pieces grows by one. Where parts are so uneven that a
+boundary must be far from its target, targets can't be fixed beforehand: then the cuts of
+the fewest pieces, and among these of the least spread of lengths, are found over all
+boundaries, which always exist. Only oversized items reach
 Python, and each is cut whole, by itself; no item depends on another, so there is no
 shuffle after the current rows are chosen.
 """
@@ -73,48 +75,93 @@ def cut_level(text: str, limit: int, found: dict[int, int]) -> str:
     return "hard"
 
 
-def _greedy(text: str, allowed: list[int], limit: int, hard: bool) -> list[int]:
-    """Cuts at the last allowed place within the limit; in hard mode anywhere if need be."""
-    cuts, start, n = [], 0, len(text)
-    while _span(text, start, n) > limit:
-        lead = len(text[start:]) - len(text[start:].lstrip(BLANKS)) if text[start : start + 1] in BLANKS else 0
-        reach = start + lead + limit
-        k = bisect.bisect_right(allowed, reach) - 1
-        # Trailing blanks don't count, so a boundary just beyond the reach may still serve.
-        while k + 1 < len(allowed) and _span(text, start, allowed[k + 1]) <= limit:
-            k += 1
-        if k >= 0 and allowed[k] > start:
-            cut = allowed[k]
-        elif hard:
-            cut = reach
-        else:
-            raise AssertionError("a part exceeds the limit")
-        cuts.append(cut)
-        start = cut
-    return cuts
+def _fewest(text: str, allowed: list[int], limit: int) -> list[int]:
+    """Cuts at allowed places for the fewest pieces within the limit, of least spread among those.
+
+    Every stretch between neighbouring places is within the limit. Lengths are measured
+    without blanks at the ends, as limits are.
+    """
+    places = [0, *allowed, len(text)]
+    # First character that is no blank at or after a place, and the end of the last before it.
+    lead = [p + len(text[p:q]) - len(text[p:q].lstrip(BLANKS)) for p, q in zip(places, places[1:])] + [len(text)]
+    trail = [0] + [q - (len(text[p:q]) - len(text[p:q].rstrip(BLANKS))) for p, q in zip(places, places[1:])]
+    for k in range(len(places) - 2, -1, -1):
+        if lead[k] >= places[k + 1]:
+            lead[k] = lead[k + 1]
+    for k in range(1, len(places)):
+        if trail[k] <= places[k - 1]:
+            trail[k] = trail[k - 1]
+    n = len(places)
+    count = [0] + [n] * (n - 1)
+    first = [0] * n
+    low = 0
+    for j in range(1, n):
+        while trail[j] - lead[low] > limit:
+            low += 1
+        # Counts never fall along the places, so the furthest start gives the fewest pieces.
+        count[j], first[j] = count[low] + 1, low
+    target = (trail[-1] - lead[0]) / count[-1]
+    best = [0.0] + [float("inf")] * (n - 1)
+    back = [0] * n
+    for j in range(1, n):
+        i = first[j]
+        while i < j and count[i] == count[j] - 1:
+            cost = best[i] + (max(0, trail[j] - lead[i]) - target) ** 2
+            if cost < best[j]:
+                best[j], back[j] = cost, i
+            i += 1
+    cuts, j = [], back[n - 1]
+    while j > 0:
+        cuts.append(places[j])
+        j = back[j]
+    return cuts[::-1]
+
+
+def _with_hard_places(text: str, allowed: list[int], limit: int) -> list[int]:
+    """Allowed places and, in stretches beyond the limit, even ones that part them."""
+    out: list[int] = []
+    for a, b in zip([0, *allowed], [*allowed, len(text)]):
+        if _span(text, a, b) > limit:
+            start, end = a + len(text[a:b]) - len(text[a:b].lstrip(BLANKS)), a + len(text[a:b].rstrip(BLANKS))
+            parts = -(-(end - start) // limit)
+            out += [start + (end - start) * k // parts for k in range(1, parts)]
+        if b < len(text):
+            out.append(b)
+    return out
 
 
 def balanced_cuts(text: str, limit: int, level: str, found: dict[int, int]) -> list[int]:
     """Cuts for pieces within the limit, near equal lengths, at the strongest boundaries."""
     least = {"paragraph": PARAGRAPH, "line": LINE, "sentence": SENTENCE, "hard": WORD}[level]
     allowed = sorted(k for k, s in found.items() if s >= least)
+    if level == "hard":
+        allowed = _with_hard_places(text, allowed, limit)
     total = len(text)
     n = max(2, -(-_span(text, 0, total) // limit))
-    for count in range(n, n + 4):
-        size = total / count
-        near = max(limit - size, size / 4)
-        cuts: list[int] = []
-        for i in range(1, count):
-            target = i * size
-            low = bisect.bisect_left(allowed, max(target - near, (cuts[-1] if cuts else 0) + 1))
-            high = bisect.bisect_right(allowed, target + near)
-            best = min(allowed[low:high], key=lambda p: (-found[p], abs(p - target)), default=None)
-            if best is None:
-                break
-            cuts.append(best)
-        if len(cuts) == count - 1 and _parts_fit(text, cuts, limit):
-            return cuts
-    return _greedy(text, allowed, limit, level == "hard")
+    cuts = _snapped(text, allowed, limit, n, found)
+    if cuts is None:
+        fewest = _fewest(text, allowed, limit)
+        # Pieces are added up to the number that the boundaries make necessary.
+        cuts = _snapped(text, allowed, limit, len(fewest) + 1, found) if len(fewest) + 1 > n else None
+        cuts = fewest if cuts is None else cuts
+    return cuts
+
+
+def _snapped(text: str, allowed: list[int], limit: int, count: int, found: dict[int, int]) -> list[int] | None:
+    """Equal-length targets for ``count`` pieces, each snapped to the strongest boundary near it; None where a piece fails."""
+    total = len(text)
+    size = total / count
+    near = max(limit - size, size / 4)
+    cuts: list[int] = []
+    for i in range(1, count):
+        target = i * size
+        low = bisect.bisect_left(allowed, max(target - near, (cuts[-1] if cuts else 0) + 1))
+        high = bisect.bisect_right(allowed, target + near)
+        best = min(allowed[low:high], key=lambda p: (-found.get(p, ANY), abs(p - target)), default=None)
+        if best is None:
+            return None
+        cuts.append(best)
+    return cuts if _parts_fit(text, cuts, limit) else None
 
 
 def overlap_start(text: str, before: int, cut: int, room: int, found: list[int]) -> int:

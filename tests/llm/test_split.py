@@ -42,6 +42,35 @@ def test_pieces_are_balanced():
     assert max(sizes) - min(sizes) < 0.2 * 900 and len(cuts) <= -(-len(text) // (900 - 120)) + 1
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=2, max_size=40), st.integers(60, 90))
+def test_uneven_parts_take_the_fewest_pieces(lengths, limit):
+    text = "\n\n".join("x" * n for n in lengths)
+    found = sp.boundaries(text)
+    cuts = sp._fewest(text, sorted(found), limit)
+    assert sp._parts_fit(text, cuts, limit)
+    # First fit from the left needs the fewest pieces when boundaries are given.
+    n, start = 1, 0
+    for k, size in enumerate(lengths):
+        if sum(lengths[start : k + 1]) + 2 * (k - start) > limit:
+            n, start = n + 1, k
+    assert len(cuts) + 1 == n
+
+
+def test_pieces_between_far_boundaries_are_spread_evenly():
+    # No boundary is near an equal target, whatever the number of pieces up to many.
+    lengths = [500, 10, 500, 10, 500, 880, 20, 20, 20, 500, 500, 30] * 8
+    text = "\n\n".join("y" * n for n in lengths)
+    kind, cuts = sp.split_text(text, 900, 0)
+    sizes = [len(text[c:e].strip()) for _, c, e in cuts]
+    assert kind == "paragraph" and max(sizes) <= 900 and "".join(text[c:e] for _, c, e in cuts) == text
+    greedy, total = [], 0
+    for n in lengths:
+        total = total + 2 + n if total and total + 2 + n <= 900 else (greedy.append(total) or n)
+    greedy.append(total)
+    assert len(sizes) == len([g for g in greedy if g]) and sum(x * x for x in sizes) <= sum(x * x for x in greedy)
+
+
 def test_very_long_word():
     kind, cuts = sp.split_text("x" * 100_000, 900)
     assert kind == "hard" and all(e - b <= 900 for b, _, e in cuts)
