@@ -2,16 +2,18 @@
 
 Passages become TF-IDF vectors; a randomised SVD gives their latent space. A block of
 passages, of bounded size, is decomposed by one task, so a large evaluation set is
-decomposed in parallel and searched block by block. Documents are cut into overlapping
-windows of words, projected into the latent space, and compared with every passage of the
-block by cosine. Candidates are then checked by the longest common subsequence with the
+decomposed in parallel. Blocks are searched together, as many as a broadcast of bounded
+size holds, so that the documents are read once for all of them. Documents are cut into
+overlapping windows of words, projected into the latent space, and compared with every
+passage of a block by cosine. Candidates are then checked by the longest common subsequence with the
 passage, by the answer's words, and by the exact rule for consecutive words.
 
 The candidate search loses no run. Windows are twice as long as the run of words looked
 for and start once per run length, so each run lies within a window. For each passage the
-least product with any window that holds such a run is known from the passage alone; with
-the part of the passage that the SVD leaves out as a margin, every window that could hold
-a run reaches the bound. Paraphrases are what the thresholds say: every window that reaches
+least product with any window that holds such a run is known from the passage alone. What
+the SVD leaves out of a product is at most the product of the lengths that it leaves out of
+passage and window; with that as a margin, every window that could hold a run reaches the
+bound at any rank. Paraphrases are what the thresholds say: every window that reaches
 the least cosine is looked at with its surroundings, a passage's length at each side.
 """
 
@@ -30,12 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words of the run looked for; words of passages in one block (its model is broadcast, at
-#: most BLOCK_WORDS * (4 * RANK + 100) bytes, 40 MB); latent dimensions.
-RUN, BLOCK_WORDS, RANK = 12, 64_000, 128
-#: Paraphrases: least cosine, share of the passage in the common subsequence, and share of
+#: Words of the run looked for; words of passages in one block (a passage is never parted, so
+#: one beyond that is a block by itself); latent dimensions at most. A model takes some
+#: 4 * rank + 250 bytes for each word of its passages.
+RUN, BLOCK_WORDS, RANK = 12, 32_000, 128
+#: Bytes of models that are broadcast together and searched in one pass over the documents.
+PASS_BYTES = 96 << 20
+#: Paraphrases: least cosine (of the window's words that passages have, in the latent space,
+#: with whole lengths), share of the passage in the common subsequence, and share of
 #: the answer's words.
-COSINE, LCS_SHARE, ANSWER_SHARE = 0.55, 0.7, 0.75
+COSINE, LCS_SHARE, ANSWER_SHARE = 0.4, 0.7, 0.75
 _DROPPED = dict.fromkeys((0x00AD, 0x200B, 0x200C, 0x200D, 0xFEFF))
 _WORD = re.compile(r"[^\W_]+").findall
 _ASCII_WORD = re.compile(r"[a-z0-9]+").findall
@@ -101,7 +107,7 @@ class Model:
         full = np.array([np.sqrt((x**2).sum()) for _, x in rows])
         self.left_out = np.sqrt(np.maximum(full**2 - (self.latent.astype(float) ** 2).sum(1), 0))
         self.least = np.array(least)
-        self.norm = np.sqrt((self.latent**2).sum(1)) + 1e-9
+        self.norm = full + 1e-9
         # One more row, of zeros, for words that no passage has.
         self.words = np.vstack([v * self.idf[:, None], np.zeros((1, v.shape[1]))]).astype(np.float32) if n else np.zeros((1, 0), np.float32)
         self.weight = np.append(self.idf, 0).astype(np.float32)
@@ -116,9 +122,21 @@ class Model:
         for a, s in zip(self.answers, sequences):
             a |= {x for x in set(s.tolist()) if names[x].isdigit()}
         self.masks = [_masks(s.tolist()) for s in sequences]
-        self.holds = np.zeros((n, width + 1), bool)
+        # Which passage has which word, hashed: as large as the passages are long. It may hold
+        # a word too many, never one too few, which is all that its uses need.
+        size = 1 << max(10, (16 * sum(map(len, sequences))).bit_length())
+        self.held = np.zeros(size, bool)
         for k, s in enumerate(sequences):
-            self.holds[k, s] = True
+            self.held[self._slot(k, s)] = True
+
+    def _slot(self, passage: np.ndarray | int, word: np.ndarray) -> np.ndarray:
+        mixed = (np.asarray(passage, np.uint32) * np.uint32(0x9E3779B1)) ^ (word.astype(np.uint32) * np.uint32(0x85EBCA77))
+        return (mixed ^ (mixed >> np.uint32(15))) & np.uint32(len(self.held) - 1)
+
+    def holds(self, passage: np.ndarray | int, word: np.ndarray) -> np.ndarray:
+        """Whether passages have words (numbers; those that no passage has are last, or -1)."""
+        last = len(self.weight) - 1
+        return self.held[self._slot(passage, word)] & (word != last) & (word >= 0)
 
     def candidates(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows of padded word ids (blocks x run), passages and cosines: all that may hold a
@@ -133,13 +151,15 @@ class Model:
                 continue
             w = np.concatenate([safe[part], safe[part + 1]], axis=1)
             u = self.words[w].sum(1)
-            most = self.weight[w].sum(1)
+            # Length of the part of a window's vector that the SVD leaves out.
+            whole = self._square(w)
+            outside = np.sqrt(np.maximum(whole - (u * u).sum(1), 0) + 1e-6 * whole)
             dot = u @ self.latent.T
-            cosine = dot / (np.sqrt((u * u).sum(1))[:, None] + 1e-9) / self.norm[None, :]
-            bound = self.least[None, :] * (1 - 1e-4) - most[:, None] * self.left_out[None, :]
+            cosine = dot / (np.sqrt(whole)[:, None] + 1e-9) / self.norm[None, :]
+            bound = self.least[None, :] * (1 - 1e-4) - outside[:, None] * self.left_out[None, :]
             a, b = np.nonzero((dot >= bound) | (cosine >= COSINE))
             # A run is no longer than the words that both have.
-            kept = (cosine[a, b] >= COSINE) | (self.holds[b[:, None], w[a]].sum(1) >= self.need[b])
+            kept = (cosine[a, b] >= COSINE) | (self.holds(b[:, None], w[a]).sum(1) >= self.need[b])
             a, b = a[kept], b[kept]
             hit_w.append(part[a])
             hit_p.append(b)
@@ -148,6 +168,16 @@ class Model:
             return np.empty(0, int), np.empty(0, int), np.empty(0)
         return np.concatenate(hit_w), np.concatenate(hit_p), np.concatenate(hit_c)
 
+    def _square(self, w: np.ndarray) -> np.ndarray:
+        """Squared lengths of windows' vectors. The k-th occurrence of a word adds 2k - 1 times its square."""
+        s = np.sort(w, axis=1)
+        again = np.ones(len(s), np.float32)
+        out = self.weight[s[:, 0]] ** 2
+        for j in range(1, s.shape[1]):
+            again = np.where(s[:, j] == s[:, j - 1], again + 1, 1)
+            out = out + self.weight[s[:, j]] ** 2 * (2 * again - 1)
+        return out
+
     def hopeful(self, ids: np.ndarray, w: np.ndarray, p: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Whether a candidate may hold a run, or its surroundings enough for a paraphrase.
 
@@ -162,7 +192,7 @@ class Model:
             own, around = np.zeros(len(part), int), np.zeros(len(part), int)
             for k in range(-int(side.max()), int(side.max()) + 2):
                 at = np.flatnonzero((x + k >= low[part]) & (x + k < high[part]) & (k >= -side) & (k <= side + 1))
-                n = self.holds[i[at, None], ids[x[at] + k]].sum(1)
+                n = self.holds(i[at, None], ids[x[at] + k]).sum(1)
                 around[at] += n
                 if k in (0, 1):
                     own[at] += n
@@ -229,28 +259,36 @@ def matches(documents: DataFrame, passages: DataFrame, id_col: str = "doc_id", t
     kind = source.schema["k"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("item_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("lcs_share", T.DoubleType()), T.StructField("answer_share", T.DoubleType()), T.StructField("exact", T.BooleanType())])
     out = None
-    for packed in build(passages):
-        shared = spark.sparkContext.broadcast(packed)
-        found = source.mapInArrow(_searcher(shared), schema)
+
+    def searched(models: list[bytes]) -> None:
+        nonlocal out
+        found = source.mapInArrow(_searcher(spark.sparkContext.broadcast(models)), schema)
         out = found if out is None else out.unionAll(found)
+
+    models: list[bytes] = []
+    for packed in build(passages):
+        if models and sum(map(len, models)) + len(packed) > PASS_BYTES:
+            searched(models)
+            models = []
+        models.append(packed)
+    if models:
+        searched(models)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
 def _searcher(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = pickle.loads(shared.value)
-        if not model.items:
-            return
-        for batch in batches:
+        models = [m for m in map(pickle.loads, shared.value) if m.items]
+        for batch in batches if models else ():
             texts, start, size = batch.column(1), 0, 0
-            rows: list[list[int]] = []
+            rows: list[list[str]] = []
             for r in range(batch.num_rows):
-                get = model.vocabulary.get
-                ids = [get(w, -1) for w in words(texts[r].as_py())]
-                rows.append(ids)
-                size += len(ids)
+                rows.append(words(texts[r].as_py()))
+                size += len(rows[-1])
                 if size > 400_000 or r == batch.num_rows - 1:
-                    yield from _search(model, batch.column(0).slice(start, len(rows)), rows)
+                    for model in models:
+                        get = model.vocabulary.get
+                        yield from _search(model, batch.column(0).slice(start, len(rows)), [[get(w, -1) for w in x] for x in rows])
                     start, rows, size = r + 1, [], 0
 
     return run
@@ -290,7 +328,7 @@ def _search(model: Model, keys: pa.Array, rows: list[list[int]]) -> Iterator[pa.
         base, n, need = int(first[d]), lengths[d], int(model.need[i])
         size = len(model.sequences[i])
         own = np.array(rows[d], dtype=np.int32)
-        held = model.holds[i, own]
+        held = model.holds(i, own)
         before = np.concatenate([[0], np.cumsum(held)])
         # A run's window has a common subsequence of the run's length with the passage; one
         # that reaches the least cosine may be a paraphrase without.

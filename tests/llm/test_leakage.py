@@ -119,3 +119,26 @@ def test_no_paraphrase_is_lost(spark):
     assert got["many", 0].lcs_share == 35 / 40 and got["begins late", 0].lcs_share >= 35 / 40
     assert got["short", 1].lcs_share == 10 / 11 and got["spread", 0].lcs_share >= 0.7
     assert not any(r.exact for r in got.values())
+
+
+def test_planted_paraphrases_are_recalled(spark, data):
+    rng = random.Random(5)
+    items = [(r.item_id, lk.words(r.passage)) for r in spark.read.parquet(f"{data}/eval_passages.parquet").collect()]
+    items = [x for x in items if len(x[1]) >= 15]
+    docs = []
+    for i, w in items:
+        # One word in ten changed, one in twenty lost, and no run of 12 left.
+        kept = [f"zq{rng.randrange(99)}" if rng.random() < 0.1 else x for x in w if rng.random() >= 0.05]
+        kept = [y for j, x in enumerate(kept) for y in ((x, f"xx{rng.randrange(99)}") if j % 10 == 9 else (x,))]
+        docs.append((i, " ".join(["filler"] * 50 + kept + ["filler"] * 50)))
+    found = lk.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, passage string"))
+    got = found.collect()
+    assert not any(r.exact for r in got if r.doc_id == r.item_id)
+    assert sum(r.doc_id == r.item_id for r in got) >= 0.9 * len(items)
+
+
+def test_many_blocks_are_read_in_one_pass(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    items = spark.read.parquet(f"{data}/eval_passages.parquet")
+    out = lk.matches(docs, items)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
