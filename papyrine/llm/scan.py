@@ -16,6 +16,7 @@ papers meet what was found for them; the table bounds the vectors only.
 
 from __future__ import annotations
 
+import bisect
 import copy
 import difflib
 import math
@@ -446,11 +447,21 @@ def _page_numbers(lines: list[str]) -> tuple[set[int], set[int]]:
     if not found:
         return set(), set()
     best, link = [1] * len(found), [-1] * len(found)
-    for b in range(len(found)):
-        for a in range(b):
-            step = found[b][1] - found[a][1]
-            if 1 <= step <= 3 and found[b][0] - found[a][0] >= 4 * step and best[a] + (2 if step == 1 else 1) > best[b]:
-                best[b], link[b] = best[a] + (2 if step == 1 else 1), a
+    # Of each value, the places so far with the longest chain that ends there up to each place.
+    ends: dict[int, tuple[list[int], list[tuple[int, int]]]] = {}
+    for b, (at, n, _) in enumerate(found):
+        options = []
+        for step in (1, 2, 3):
+            places, longest = ends.get(n - step, ([], []))
+            k = bisect.bisect_right(places, at - 4 * step) - 1
+            if k >= 0:
+                length, a = longest[k]
+                options.append((length + (2 if step == 1 else 1), -a))
+        if options and max(options)[0] > 1:
+            best[b], link[b] = max(options)[0], -max(options)[1]
+        places, longest = ends.setdefault(n, ([], []))
+        places.append(at)
+        longest.append(longest[-1] if longest and longest[-1][0] >= best[b] else (best[b], b))
     k = max(range(len(found)), key=lambda j: (best[j], found[j][2], -j))
     chain = set()
     if best[k] > 1:
@@ -459,11 +470,28 @@ def _page_numbers(lines: list[str]) -> tuple[set[int], set[int]]:
             k = link[k]
     else:
         # One page number only: it stands alone, between pages.
-        own = [j for j, f in enumerate(found) if f[2] and not any(abs(f[0] - g[0]) == 1 for g in found if g is not f)]
+        places = {f[0] for f in found}
+        own = [j for j, f in enumerate(found) if f[2] and f[0] - 1 not in places and f[0] + 1 not in places]
         chain = {own[0]} if len(own) == 1 and not lines[max(0, found[own[0]][0] - 1)].rstrip().endswith(":") else set()
     return {found[j][0] for j in chain if found[j][2]}, {found[j][0] for j in chain if not found[j][2]}
 
 
+def _neighbours(lines: list[str], left_out: set[int]) -> tuple[list[int], list[int]]:
+    """Of each line the nearest before and after it that are neither blank nor left out."""
+    before, after = [-1] * len(lines), [len(lines)] * len(lines)
+    last = -1
+    for i, x in enumerate(lines):
+        before[i] = last
+        if x.strip() and i not in left_out:
+            last = i
+    last = len(lines)
+    for i in range(len(lines) - 1, -1, -1):
+        after[i] = last
+        if lines[i].strip() and i not in left_out:
+            last = i
+    return before, after
+
+
 def furniture(lines: list[str]) -> tuple[set[int], set[int]]:
     """Running lines and page-number lines of one paper."""
     numbers, beside = _page_numbers(lines)
@@ -478,46 +506,49 @@ def furniture(lines: list[str]) -> tuple[set[int], set[int]]:
     else:
         top = -1
     first = authors.split()[0] if authors else ""
-    times = Counter(k for k in keys.values() if k)
+    again = f"{first} et al"
+    same: dict[str, list[int]] = defaultdict(list)
+    for i, k in keys.items():
+        same[k].append(i)
+    hints = {i for i, k in keys.items() if k and i != top and (k == title or i in beside or len(same[k]) >= 2 or (first and k == again))}
+    before, after = _neighbours(lines, set())
+    before_body, after_body = _neighbours(lines, numbers | hints)
 
     def at_edge(i: int, running: set[int]) -> bool:
         """At a page's edge: beside other furniture, a form feed, or the paper's ends."""
         if lines[i].startswith("\x0c"):
             return True
-        for step in (-1, 1):
-            j = i + step
-            while 0 <= j < len(lines) and not lines[j].strip():
-                j += step
-            if not 0 <= j < len(lines) or j in numbers or j in running or lines[j].startswith("\x0c") or (step < 0 and j < top and i < top):
+        for j in (before[i], after[i]):
+            if not 0 <= j < len(lines) or j in numbers or j in running or lines[j].startswith("\x0c") or (j < i and j < top and i < top):
                 return True
         return False
 
     def interrupts(i: int) -> bool:
         """Body text runs on from the line before to a line after, across this one."""
-        a, b = i - 1, i + 1
-        while a >= 0 and (not lines[a].strip() or a in numbers or a in hints):
-            a -= 1
-        while b < len(lines) and (not lines[b].strip() or b in numbers or b in hints):
-            b += 1
+        a, b = before_body[i], after_body[i]
         if a < 0 or b >= len(lines):
             return True
-        before, after = lines[a].rstrip(), lines[b].lstrip("\x0c ")
-        return before[-1:] not in ".!?:" and (after[:1].islower() or after[:1].isdigit() or before[-1:] in HYPHENS)
+        earlier, later = lines[a].rstrip(), lines[b].lstrip("\x0c ")
+        return earlier[-1:] not in ".!?:" and (later[:1].islower() or later[:1].isdigit() or earlier[-1:] in HYPHENS)
+
+    @lru_cache(None)
+    def repeats(k: str) -> bool:
+        """Whether a line that comes again stands at pages' edges often enough."""
+        own = same[k]
+        placed = sum(at_edge(j, hints) or interrupts(j) for j in own)
+        # Some pages break between paragraphs, where a line interrupts nothing.
+        return (placed > len(own) / 2 or (len(own) >= 3 and placed >= len(own) / 4)) and own[-1] - own[0] >= 5 and not any(lines[j].startswith("  ") for j in own)
 
-    hints = {i for i, k in keys.items() if k and i != top and (k == title or i in beside or times[k] >= 2 or (first and re.fullmatch(rf"{re.escape(first)} et al", k)))}
     sure: set[int] = set()
     for i in sorted(hints):
         k, s = keys[i], lines[i].strip()
-        own = k == title or i in beside or bool(first and re.fullmatch(rf"{re.escape(first)} et al", k))
+        own = k == title or i in beside or bool(first and k == again)
         ends = s.endswith((".", "!", "?", ",", ";")) and not k.endswith("et al")
-        if own and (at_edge(i, hints - {i}) or interrupts(i) or times[k] >= 2):
+        if own and (at_edge(i, hints) or interrupts(i) or len(same[k]) >= 2):
             sure.add(i)
-        elif not own and not ends and len(k.split()) >= 2 and not s.lstrip("\x0c")[:1].islower():
-            same = [j for j, x in keys.items() if x == k]
-            placed = sum(at_edge(j, hints - {j}) or interrupts(j) for j in same)
-            # Some pages break between paragraphs, where a line interrupts nothing.
-            if (placed > len(same) / 2 or (len(same) >= 3 and placed >= len(same) / 4)) and max(same) - min(same) >= 5 and not any(lines[j].startswith("  ") for j in same):
-                sure.add(i)
+        elif not own and not ends and len(k.split()) >= 2 and not s.lstrip("\x0c")[:1].islower() and repeats(k):
+            sure.add(i)
+
     # The same lines with misread characters. Letters in common bound the likeness from above.
     def alike(k: str, m: str, least: float) -> bool:
         common = sum((letters(k) & letters(m)).values())
@@ -525,11 +556,14 @@ def furniture(lines: list[str]) -> tuple[set[int], set[int]]:
 
     letters = lru_cache(None)(Counter)
     for i, k in keys.items():
-        if first and i not in sure and len(lines[i].strip()) < 60 and k.endswith((" al", " a")) and alike(k, f"{first} et al", 0.8):
+        if first and i not in sure and len(lines[i].strip()) < 60 and k.endswith((" al", " a")) and alike(k, again, 0.8):
             sure.add(i)
-    models = {keys[i] for i in sure if len(keys[i]) > 8} | ({title} if title else set())
+    models: dict[int, list[str]] = defaultdict(list)
+    for m in sorted({keys[i] for i in sure if len(keys[i]) > 8} | ({title} if title else set())):
+        models[len(m)].append(m)
+    like_model = lru_cache(None)(lambda k: any(alike(k, m, 0.86) for n in range(len(k) - 6, len(k) + 7) for m in models.get(n, ())))
     for i, k in keys.items():
-        if i not in sure and i != top and len(k) > 8 and any(abs(len(k) - len(m)) <= 6 and alike(k, m, 0.86) for m in models) and (at_edge(i, sure - {i}) or interrupts(i)):
+        if i not in sure and i != top and len(k) > 8 and (at_edge(i, sure) or interrupts(i)) and like_model(k):
             sure.add(i)
     return sure, numbers
 

@@ -150,3 +150,15 @@ def test_trusted_table_is_trusted_of_all_words(spark):
     counts |= {"modem": 300_000, "rnodem": 2000, "rnodern": 100, "ioem": 144 * 144, "loem": 144 * 12, "locm": 144}
     got = scan.trusted_table(spark.createDataFrame(list(counts.items()), "word string, n long"))
     assert {x.word: x.n for x in got.collect()} == scan.trusted(counts)
+
+
+def test_furniture_of_a_very_long_paper_takes_time_in_proportion():
+    import time
+
+    def lines(n):
+        return ["Running header of the paper" if i % 20 == 0 else str(i // 20 + 1) if i % 20 == 19 else f"some body text that goes on number word{i % 37} and" for i in range(n)]
+
+    began = time.time()
+    running, numbers = scan.furniture(lines(16_000))
+    assert time.time() - began < 2
+    assert running == set(range(0, 16_000, 20)) and numbers == set(range(19, 16_000, 20))
