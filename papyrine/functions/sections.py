@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,20 @@ CANONICAL = (
     ("discussion", r"discussion"),
     ("conclusion", r"conclusion"),
 )
+#: Kinds of headings that name no section: kind, pattern (of the lower-case heading where it has
+#: a word boundary), most words, whether all letters are capitals. The first that fits counts.
+HEADING_KINDS = (
+    ("citation_like", CITATION_LIKE, None, False),
+    ("subsection", r"^[A-Za-z0-9&/\- ]+$", 4, False),
+    ("subsection", None, 8, True),
+)
+OTHER_KIND = "title_like"
+#: Headings that open a section by their words: least words, pattern, whether all capitals.
+THEMATIC = ((4, None, True), (5, r"^[A-Za-z0-9&/\-(),:; ]+$", False))
+#: What such a heading opens: words in it and the section.
+THEMES = (("summary", "Summary"), ("reference", "References"), ("bibliograph", "References"))
+#: What follows a section where the heading's words don't say.
+FOLLOWING = {OPENING_HEADER: "Introduction", "Introduction": "Discussion", "Discussion": "Conclusion"}
 NUMBERING = r"^\d+(?:\s*[.|-]\s*|\.\d+\s*[.|-]\s*)*"
 
 
@@ -59,15 +75,42 @@ def word_count(header: Column) -> Column:
 def header_kind(header: Column) -> Column:
     """Kind of a heading that names no section: opening_metadata, citation_like, subsection, title_like."""
     h = F.trim(F.coalesce(header, F.lit("")))
-    n = word_count(h)
-    upper = (F.upper(h) == h) & (F.lower(h) != h)
-    return (
-        F.when(h == "", "opening_metadata")
-        .when(F.lower(h).rlike(CITATION_LIKE), "citation_like")
-        .when((n <= 4) & h.rlike(r"^[A-Za-z0-9&/\- ]+$"), "subsection")
-        .when(upper & (n <= 8), "subsection")
-        .otherwise("title_like")
-    )
+    out = F.when(h == "", "opening_metadata")
+    for kind, pattern, most, capitals in HEADING_KINDS:
+        fits = F.lit(True)
+        if pattern:
+            fits = fits & (F.lower(h) if pattern == CITATION_LIKE else h).rlike(pattern)
+        if most:
+            fits = fits & (word_count(h) <= most)
+        if capitals:
+            fits = fits & (F.upper(h) == h) & (F.lower(h) != h)
+        out = out.when(fits, kind)
+    return out.otherwise(OTHER_KIND)
+
+
+def heading_kind(text: str) -> str:
+    """The same of one heading with text, in a fold over a document."""
+    for kind, pattern, most, capitals in HEADING_KINDS:
+        shown = text.lower() if pattern == CITATION_LIKE else text
+        if (not pattern or re.search(pattern, shown)) and (not most or len(text.split()) <= most) and (not capitals or text.isupper()):
+            return kind
+    return OTHER_KIND
+
+
+def opens_section(text: str) -> bool:
+    """Whether a heading that isn't the first opens a section by its words alone."""
+    low = text.lower()
+    if heading_kind(text) == "citation_like" or any(t in low for t in BACK_MATTER):
+        return False
+    return any(len(text.split()) >= least and (not pattern or re.search(pattern, text)) and (not capitals or text.isupper()) for least, pattern, capitals in THEMATIC)
+
+
+def next_section(current: str, text: str, deeper: bool) -> str:
+    """The section that a thematic heading opens after ``current``; a deeper one stays within it."""
+    named = [section for word, section in THEMES if word in text.lower()]
+    if named:
+        return named[0]
+    return current if deeper and current != OPENING_HEADER else FOLLOWING.get(current, current)
 
 
 def canonical_sections(header: Column) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from papyrine.functions.text import collapse, identity_path, identity_text
@@ -32,42 +31,71 @@ def identities(rows: DataFrame, doc: str, fields: dict[str, str], order: str | N
     return d.groupBy("doc_id").agg(*[first(c).alias(f) for f, c in fields.items()])
 
 
+def scope(df: DataFrame, *more: str) -> list[str]:
+    """Columns that entries are told apart by where they have them: the collection first."""
+    return [c for c in ("collection", *more) if c in df.columns]
+
+
 def long_form(entries: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
-    """A row for each known identity value: doc_id, field, value, norm (and source, if there)."""
-    keep = [c for c in ("source", "ordinal") if c in entries.columns]
+    """A row for each known identity value: doc_id, field, value, norm (and collection, source, ordinal, if there)."""
+    keep = scope(entries, "source", "ordinal")
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.trim(F.col(f)).alias("value"), normalized(f, F.col(f)).alias("norm")) for f in fields])
     return entries.select("doc_id", *keep, F.explode(each).alias("e")).select("doc_id", *keep, "e.*").where("norm is not null and doc_id is not null")
 
 
+def claims(entries: DataFrame, by_source: bool = True) -> DataFrame:
+    """Distinct documents of each identity value (field, norm), within collection and source where there are any."""
+    keys = scope(entries, "source") if by_source else scope(entries)
+    return long_form(entries).select(*keys, "field", "norm", "doc_id").distinct()
+
+
 def duplicates(entries: DataFrame, by_source: bool = True) -> DataFrame:
-    """Identity values that several documents of a source claim: field, norm, doc_ids (sorted), n_docs.
+    """Identity values that several documents claim: field, norm, n_docs, first_doc_id.
 
-    The distinct pairs come first, so a value on a third of all rows is counted after each
-    task has reduced its part.
+    One row a value, whatever the number of its documents; ``claims`` has these. The distinct
+    pairs come first, so a value on a third of all rows is counted after each task has
+    reduced its part.
     """
-    keys = (["source"] if by_source and "source" in entries.columns else []) + ["field", "norm"]
-    pairs = long_form(entries).select(*keys, "doc_id").distinct()
-    return pairs.groupBy(*keys).agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"), F.count("*").alias("n_docs")).where("n_docs > 1")
+    pairs = claims(entries, by_source)
+    keys = [c for c in pairs.columns if c != "doc_id"]
+    return pairs.groupBy(*keys).agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc_id")).where("n_docs > 1")
+
+
+def duplicate_members(entries: DataFrame, by_source: bool = True) -> DataFrame:
+    """The documents of each value in ``duplicates``: field, norm, doc_id."""
+    pairs = claims(entries, by_source)
+    keys = [c for c in pairs.columns if c != "doc_id"]
+    return pairs.join(duplicates(entries, by_source).select(*keys), keys, "left_semi")
+
+
+def _weighed(entries: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Documents of each value with the number of their sources, and the values with the most of these."""
+    keys = [*scope(entries), "field", "norm"]
+    seen = long_form(entries).select(*keys, "source", "doc_id").distinct()
+    counts = seen.groupBy(*keys, "doc_id").agg(F.count("*").alias("sources"))
+    # The two most claimed documents decide; no list of documents is gathered.
+    best = counts.groupBy(*keys).agg(F.count("*").alias("n_docs"), F.max_by("doc_id", F.struct("sources", "doc_id")).alias("top"), F.max("sources").alias("most"))
+    ties = counts.join(best.select(*keys, "most"), keys).where("sources = most").groupBy(*keys).agg(F.count("*").alias("tied"))
+    plan = best.where("n_docs > 1").join(ties, keys).select(*keys, "n_docs", F.when(F.col("tied") == 1, F.col("top")).alias("keep_doc_id"))
+    return counts, plan, keys
 
 
 def cleanup_plan(entries: DataFrame) -> DataFrame:
     """For each value that several documents claim: keep the one in most sources, or review.
 
-    ``entries`` has source, doc_id and the identity fields. Columns: field, norm, action,
-    keep_doc_id (null for a tie), drop_doc_ids, doc_ids.
+    ``entries`` has source, doc_id and the identity fields, and may have a collection, within
+    which values are compared. Columns: field, norm, action, keep_doc_id (null for a tie),
+    n_docs; ``cleanup_members`` says what becomes of each document.
     """
-    seen = long_form(entries).select("source", "doc_id", "field", "norm").distinct()
-    counts = seen.groupBy("field", "norm", "doc_id").agg(F.count("*").alias("sources"))
-    best = counts.groupBy("field", "norm").agg(
-        F.max("sources").alias("most"), F.array_sort(F.collect_list(F.struct("doc_id", "sources"))).alias("all"), F.count("*").alias("n")
-    ).where("n > 1")
-    top = F.filter("all", lambda x: x["sources"] == F.col("most"))
-    keep = F.when(F.size(top) == 1, F.get(top, F.lit(0))["doc_id"])
-    ids = F.transform("all", lambda x: x["doc_id"])
-    return best.select(
-        "field", "norm", F.when(keep.isNull(), "manual_review").otherwise("drop_duplicate_doc_ids").alias("action"), keep.alias("keep_doc_id"),
-        F.when(keep.isNull(), F.array().cast("array<string>")).otherwise(F.filter(ids, lambda x: x != keep)).alias("drop_doc_ids"), ids.alias("doc_ids"),
-    )
+    _, plan, keys = _weighed(entries)
+    return plan.select(*keys, F.when(F.col("keep_doc_id").isNull(), "manual_review").otherwise("drop_duplicate_doc_ids").alias("action"), "keep_doc_id", "n_docs")
+
+
+def cleanup_members(entries: DataFrame) -> DataFrame:
+    """field, norm, doc_id and role (keep, drop or review) of the documents that the plan names."""
+    counts, plan, keys = _weighed(entries)
+    role = F.when(F.col("keep_doc_id").isNull(), "review").when(F.col("doc_id") == F.col("keep_doc_id"), "keep").otherwise("drop")
+    return counts.join(plan, keys).select(*keys, "doc_id", role.alias("role"))
 
 
 def canonical_ids(requests: DataFrame, existing: DataFrame) -> DataFrame:
@@ -95,9 +123,3 @@ def taken(candidates: DataFrame, existing: DataFrame) -> DataFrame:
 
     have = keys(existing).groupBy("field", "norm").agg(F.min("doc_id").alias("existing_doc_id"))
     return keys(candidates).join(have, ["field", "norm"]).groupBy("doc_id", "field").agg(F.min("existing_doc_id").alias("existing_doc_id"))
-
-
-def first_of_hash(existing: DataFrame) -> DataFrame:
-    """The first entry of each known hash."""
-    w = W.partitionBy("h").orderBy("ordinal", "doc_id")
-    return existing.withColumn("h", identity_text(F.col("source_sha256"))).where("h is not null").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

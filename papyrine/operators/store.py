@@ -1,14 +1,16 @@
 """The vector table: upsert, filters, top-k search.
 
-Search is exact. One query becomes a scan with a top-k; many queries go in blocks of fixed
-size, each a matrix sent to the executors and multiplied with every batch of the table, so
-that only k rows per query and batch leave a task.
+Search is exact. One query becomes a scan with a top-k. Many queries and the table are
+packed into blocks of fixed size; every block of queries is multiplied with every block of
+the table, and only k rows per query and pair of blocks leave a task. Nothing of either
+side comes to the driver, and the table is read once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+import pickle
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,9 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papyrine.functions.vectors import cosine
+from papyrine.sources.tables import durable
 
-#: Queries in one block (at most 4096 x 4096 doubles, 128 MB, by QUERY_BYTES) and decimals of a score.
-QUERY_BLOCK, QUERY_BYTES, DECIMALS = 4096, 64 << 20, 6
+#: Rows of a block of queries and of one of the table, bytes of a block's vectors at most, and decimals of a score.
+QUERY_BLOCK, TABLE_BLOCK, BLOCK_BYTES, DECIMALS = 2048, 8192, 16 << 20, 6
 
 
 def latest(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -31,6 +34,10 @@ def latest(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFra
     one key.
     """
     orderable = [c for c, t in rows.dtypes if c not in key and c not in order and not t.startswith(("map", "variant")) and "map<" not in t]
+    if len(orderable) + len(order) + len(key) == len(rows.columns) and (order or orderable):
+        # The row itself is what is compared, so it is held once.
+        out = rows.groupBy(*key).agg(F.max(F.struct(*order, *orderable)).alias("_r"))
+        return out.select(*[F.col(c) if c in key else F.col(f"_r.{c}").alias(c) for c in rows.columns])
     by = F.struct(*order, *orderable) if order or orderable else F.lit(0)
     whole = F.struct(*[c for c in rows.columns if c not in key])
     out = rows.groupBy(*key).agg(F.max_by(whole, by).alias("_r"))
@@ -67,7 +74,6 @@ class Filters:
     must_not: tuple[Condition, ...] = ()
     should: tuple[Condition, ...] = ()
     least: int = 1
-    extra: tuple = field(default=())
 
     def column(self, df: DataFrame) -> Column:
         """One boolean column; a row that lacks a field meets no condition on it."""
@@ -98,7 +104,7 @@ def top_k(table: DataFrame, query: DataFrame, k: int, id_col: str, vector_col: s
     return scored.drop("_qi", "_qv", vector_col).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
+def _matrix(vectors: Sequence, width: int) -> np.ndarray:
     out = np.zeros((len(vectors), width))
     for i, v in enumerate(vectors):
         if v is not None and len(v) == width:
@@ -107,56 +113,88 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
     return np.divide(out, n, out=np.zeros_like(out), where=n > 0)
 
 
-def top_k_batch(table: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, others_only: bool = True) -> DataFrame:
-    """query_id, id, score, rank of the k nearest rows of each query, by cosine, then id.
+def _packed(rows: DataFrame, id_col: str, vector_col: str, size: int, more: Sequence[str]) -> DataFrame:
+    """``rows`` with a vector as packed blocks of at most ``size`` rows and BLOCK_BYTES of vectors."""
 
-    Queries come to the driver one block at a time; a block's size is bounded by rows and
-    bytes. Scores are rounded, so ties are decided by id alike everywhere. Null, empty,
-    zero or differently long vectors match nothing.
-    """
-    spark = table.sparkSession
-    kind = table.schema[id_col].dataType.simpleString()
-    out = None
-    block: list = []
-    rows = queries.select(id_col, vector_col).where(F.col(vector_col).isNotNull()).toLocalIterator()
-    blocks = []
-    size = 0
-    for r in rows:
-        block.append((r[0], r[1]))
-        size += 8 * len(r[1])
-        if len(block) >= QUERY_BLOCK or size >= QUERY_BYTES:
-            blocks.append(block)
-            out = _searched(spark, table, block, k, id_col, vector_col, kind, others_only, out)
-            block, size = [], 0
-    if block or out is None:
-        out = _searched(spark, table, block, k, id_col, vector_col, kind, others_only, out)
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        n = width = 0
 
+        def block() -> pd.DataFrame:
+            pdf = pd.concat(held, ignore_index=True)
+            return pd.DataFrame({"block": [pickle.dumps((pdf[id_col].to_numpy(), pdf[vector_col].tolist(), pdf[list(more)]))]})
 
-def _searched(spark, table, block, k, id_col, vector_col, kind, others_only, out):
-    width = max((len(v) for _, v in block), default=0)
-    ids = np.array([i for i, _ in block])
-    shared = spark.sparkContext.broadcast((ids, _matrix(pd.Series([v for _, v in block]), width)))
+        for pdf in batches:
+            pdf = pdf[pdf[vector_col].notna()]
+            width = max([width, *map(len, pdf[vector_col])]) if len(pdf) else width
+            step = max(1, min(size, BLOCK_BYTES // max(8, 8 * width)))
+            for k in range(0, len(pdf), step):
+                held.append(pdf.iloc[k : k + step])
+                n += len(held[-1])
+                if n >= step:
+                    yield block()
+                    held, n = [], 0
+        if held:
+            yield block()
+
+    return rows.select(id_col, vector_col, *more).mapInPandas(run, "block binary")
+
+
+def top_k_batch(
+    table: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, others_only: bool = True,
+    admitted: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray] | None = None, query_columns: Sequence[str] = (), table_columns: Sequence[str] = (), query_id: str | None = None,
+) -> DataFrame:
+    """query_id, id, score, rank of the k nearest rows of each query, by cosine, then id.
+
+    ``admitted`` gives, for the named columns of a block of queries and of one of the table,
+    which rows each query may find, before places are given. Scores are rounded, so ties are
+    decided by id alike everywhere. Null, empty, zero or differently long vectors match
+    nothing; no queries or no rows give no rows.
+    """
+    query_id = query_id or id_col
+    kinds = queries.schema[query_id].dataType.simpleString(), table.schema[id_col].dataType.simpleString()
+    q = durable(_packed(queries, query_id, vector_col, QUERY_BLOCK, query_columns), "queries")
+    t = _packed(table, id_col, vector_col, TABLE_BLOCK, table_columns)
+    # Pairs of blocks, not of rows.
+    pairs = t.withColumnRenamed("block", "t").crossJoin(q.withColumnRenamed("block", "q"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qi, q = shared.value
+        seen: dict[int, tuple] = {}
         for pdf in batches:
-            if not len(qi) or not len(pdf):
-                continue
-            x = _matrix(pdf[vector_col], q.shape[1])
-            own = pdf[id_col].to_numpy()
-            live = np.abs(x).sum(1) > 0
-            s = np.round(q @ x.T, DECIMALS) + 0.0
-            s[:, ~live] = -np.inf
-            s[np.abs(q).sum(1) == 0] = -np.inf
-            if others_only:
-                s[qi[:, None] == own[None, :]] = -np.inf
-            order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
-            a = np.repeat(np.arange(len(qi)), order.shape[1])
-            b = order.reshape(-1)
-            good = np.isfinite(s[a, b])
-            yield pd.DataFrame({"query_id": qi[a][good], "id": own[b][good], "score": s[a, b][good]})
-
-    found = table.select(id_col, vector_col).mapInPandas(run, f"query_id {kind}, id {kind}, score double")
-    return found if out is None else out.unionAll(found)
+            for packed_t, packed_q in zip(pdf["t"], pdf["q"]):
+                found = seen.get(hash(packed_q))
+                if found is None:
+                    seen.clear()
+                    ids, vectors, more = pickle.loads(packed_q)
+                    found = seen[hash(packed_q)] = (ids, _matrix(vectors, max(map(len, vectors), default=0)), more)
+                yield _nearest(*found, *pickle.loads(packed_t), k, others_only, admitted)
+
+    found = pairs.mapInPandas(run, f"query_id {kinds[0]}, id {kinds[1]}, score double")
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _nearest(qi, q, query_more, own, vectors, table_more, k, others_only, admitted) -> pd.DataFrame:
+    """The k best rows of one block for each query of another."""
+    x = _matrix(vectors, q.shape[1])
+    s = np.round(q @ x.T, DECIMALS) + 0.0
+    s[:, ~(np.abs(x).sum(1) > 0)] = -np.inf
+    s[np.abs(q).sum(1) == 0] = -np.inf
+    if others_only:
+        s[qi[:, None] == own[None, :]] = -np.inf
+    if admitted is not None:
+        s[~admitted(query_more, table_more)] = -np.inf
+    # Rows in order of id, so that a stable sort by score settles ties.
+    by_id = np.argsort(own, kind="stable")
+    own, s = own[by_id], s[:, by_id]
+    if s.shape[1] > 4 * k:
+        # All that reach the k-th best score, ties with it included.
+        least = np.partition(s, -k, axis=1)[:, -k]
+        a, b = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+    else:
+        a, b = np.nonzero(np.isfinite(s))
+    order = np.lexsort((b, -s[a, b], a))
+    a, b = a[order], b[order]
+    place = np.arange(len(a)) - np.searchsorted(a, a)
+    a, b = a[place < k], b[place < k]
+    return pd.DataFrame({"query_id": qi[a], "id": own[b], "score": s[a, b]})

@@ -49,7 +49,7 @@ def vec_topk_batch(spark, d):
 def _results(spark, d, k):
     """Search results in the shape that evaluation reads; labels stand for documents."""
     e = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("Doc"), F.col("label").cast("string")).alias("doc_id"), F.element_at(F.array(F.lit("Results"), F.lit("2. Methods"), F.lit("Notes")), (F.pmod("label", F.lit(3)) + 1).cast("int")).alias("header"))
-    return _batch(spark, d, k).join(e, "id").select("query_id", "rank", "doc_id", "header", F.lit("").alias("content"), F.when(F.pmod("id", F.lit(2)) == 0, "table").otherwise("text").alias("chunk_type"))
+    return _batch(spark, d, k).join(e, "id").select("query_id", "rank", "doc_id", "header", F.when(F.pmod("id", F.lit(3)) == 0, "Shown by others (Doe et al. 2001, doi:10/x)").otherwise("Shown here.").alias("content"), F.when(F.pmod("id", F.lit(2)) == 0, "table").otherwise("text").alias("chunk_type"))
 
 
 def _expected(spark, d):
@@ -57,6 +57,11 @@ def _expected(spark, d):
     return e.select(F.col("vec_id").alias("query_id"), F.lit("").alias("doc_filter"), F.array(F.concat(F.lit("doc"), F.col("label").cast("string"))).alias("expected_docs"), F.array(F.lit("results")).alias("expected_headers"))
 
 
+def summary(spark, d, k):
+    """Summary of all searches with k results each."""
+    return ev.retrieval_summary(ev.retrieval_metrics(_results(spark, d, k), _expected(spark, d)))
+
+
 def eval_per_query(spark, d):
     """Metrics of each search."""
     return ev.retrieval_metrics(_results(spark, d, 5), _expected(spark, d)).drop("doc_filter")
@@ -64,7 +69,7 @@ def eval_per_query(spark, d):
 
 def eval_summary(spark, d):
     """Summary of all searches."""
-    return ev.retrieval_summary(ev.retrieval_metrics(_results(spark, d, 5), _expected(spark, d)))
+    return summary(spark, d, 5)
 
 
 def eval_regressions(spark, d):
@@ -76,8 +81,7 @@ def eval_regressions(spark, d):
 
 def eval_gate(spark, d):
     """Summary metrics of the two runs side by side."""
-    x = _expected(spark, d)
-    return ev.metric_comparison(ev.retrieval_summary(ev.retrieval_metrics(_results(spark, d, 3), x)), ev.retrieval_summary(ev.retrieval_metrics(_results(spark, d, 10), x)))
+    return ev.metric_comparison(summary(spark, d, 3), summary(spark, d, 10))
 
 
 def answer_confidence(spark, d):
@@ -125,7 +129,8 @@ def events_upsert(spark, d):
     """A table of events after a batch replaced its users: clicks are the table, all else the batch."""
     e = load(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
     one = lambda x: store.latest(x, ["user_id"], ["ts", "event_id"])
-    return store.upsert(one(e.where("event_type = 'click'")), one(e.where("event_type <> 'click'")), ["user_id"]).drop("ts")
+    click = F.coalesce(F.col("event_type") == "click", F.lit(False))
+    return store.upsert(one(e.where(click)), one(e.where(~click)), ["user_id"]).drop("ts")
 
 
 QUERIES = {f.__name__: f for f in (vec_topk, vec_topk_filtered, vec_min_should, vec_topk_batch, eval_per_query, eval_summary, eval_regressions, eval_gate, answer_confidence, answer_eval, answers, point_ids, embed_chunks, events_latest, events_upsert)}
@@ -143,7 +148,7 @@ def _near(k: int) -> str:
 
 def _metrics(k: int) -> str:
     return f"""select query_id, count(*) as result_count, bool_or(d) as expected_doc_hit, bool_or(h) as expected_header_hit, bool_or(d and rank = 1) as top1_expected_doc_hit, bool_or(h and rank = 1) as top1_expected_header_hit,
-      round_even(count_if(d) / count(*), 4) as doc_precision, round_even(count_if(h) / count(*), 4) as header_precision, count_if(id % 2 = 0) as table_hits, 0 as citation_noise_hits, count_if(label % 3 = 2) as non_structural_header_hits,
+      round_even(count_if(d) / count(*), 4) as doc_precision, round_even(count_if(h) / count(*), 4) as header_precision, count_if(id % 2 = 0) as table_hits, count_if(id % 3 = 0) as citation_noise_hits, count_if(label % 3 = 2) as non_structural_header_hits,
       count(distinct label) as distinct_doc_count, count(distinct label % 3) as distinct_header_count
       from (select n.*, e.label, e.label = q.label as d, e.label % 3 = 0 as h from ({_near(k)}) n join embeddings e on e.vec_id = n.id join embeddings q on q.vec_id = n.query_id) group by query_id"""
 
@@ -173,5 +178,5 @@ ORACLE = {
     "point_ids": f"""select id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', 1 + ('0x' || substr(h, 17, 1))::int, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) as point_id
       from (select id, sha1(unhex('{vx.URL_NAMESPACE}') || encode(id)) as h from (select distinct id from chunks where id is not null))""",
     "events_latest": "select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by ts desc nulls last, event_id desc) as rn from events) where rn = 1",
-    "events_upsert": """select user_id, event_id, event_type from (select user_id, event_id, event_type, row_number() over (partition by user_id order by (event_type <> 'click') desc, ts desc nulls last, event_id desc) as rn from events where event_type is not null) where rn = 1""",
+    "events_upsert": """select user_id, event_id, event_type from (select user_id, event_id, event_type, row_number() over (partition by user_id order by coalesce(event_type = 'click', false), ts desc nulls last, event_id desc) as rn from events) where rn = 1""",
 }
