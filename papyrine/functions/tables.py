@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from papyrine.functions.text import collapse
+
 from papyrine.functions.text import CAPTION_CHARS
 
 # ---- fixed values
@@ -65,3 +67,36 @@ def trim_titles(rows: Column) -> Column:
         F.transform(F.slice(rows, F.lit(1), at), lambda r: F.transform(r, lambda x: F.coalesce(x, F.lit("")))).alias("titles"),
         F.slice(rows, at + 1, F.greatest(F.size(rows) - at, F.lit(0))).alias("rows"),
     )
+
+
+def csv_cells(text: Column) -> Column:
+    """Rows of cells of a CSV text; separators and line feeds within quotes part nothing.
+
+    Quotes alternate between outside and inside, so what lies at odd places of the text cut
+    at its quotes is outside.
+    """
+    parts = F.transform(F.split(text, '"'), lambda x, i: F.when(i % 2 == 0, F.translate(x, ",\n", "\x01\x02")).otherwise(x))
+
+    def cell(c: Column) -> Column:
+        t = F.trim(c)
+        quoted = (F.length(t) >= 2) & t.startswith('"') & t.endswith('"')
+        return F.when(quoted, F.replace(F.substring(t, F.lit(2), F.length(t) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
+
+    return F.transform(F.split(F.array_join(parts, '"'), "\x02"), lambda r: F.transform(F.split(r, "\x01"), cell))
+
+
+def has_content(table: Column) -> Column:
+    """Whether any cell of a parsed table's rows says something."""
+    rows = F.coalesce(table["rows"], F.array())
+    return F.exists(rows, lambda r: F.exists(F.map_values(r), lambda v: F.coalesce(F.trim(v), F.lit("")) != ""))
+
+
+def has_repeats(texts: Column) -> Column:
+    """Whether two of a document's tables are the same, but for case and blanks; blank ones don't count."""
+    known = F.filter(F.transform(texts, lambda x: collapse(F.lower(F.coalesce(x, F.lit(""))))), lambda x: x != "")
+    return F.size(known) > F.size(F.array_distinct(known))
+
+
+def origin(parsed: Column, markdown: Column, repeated: Column) -> Column:
+    """parser or markdown: whose tables count, from both numbers and whether the parser's repeat."""
+    return F.when((parsed == 0) | (markdown > parsed) | ((markdown > 0) & repeated), "markdown").otherwise("parser")

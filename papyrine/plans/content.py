@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrine.functions import markdown as md
-from papyrine.functions import sections, tables
+from papyrine.functions import layout, sections, tables
 from papyrine.functions import text as tx
 from papyrine.operators import chunking, retrieval
 from papyrine.operators.store import latest
 from papyrine.plans import sql as q
 from papyrine.sources import sinks
-from papyrine.sources.tables import load
+from papyrine.sources.tables import computed_once, load
 
 
 def current_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -73,8 +73,9 @@ def text_tokens(spark, d):
 
 def text_flags(spark, d):
     """Which chunk contents are references, front matter, low value or full of citations."""
-    c = F.col("content")
-    return load(spark, d, "chunks").select("id", tx.is_reference_block(c).alias("reference"), tx.is_front_matter_block(c).alias("front_matter"), tx.is_low_value(c).alias("low_value"), F.coalesce(tx.is_citation_heavy(c), F.lit(False)).alias("citation_heavy"))
+    once = computed_once(load(spark, d, "chunks").select("id", tx.flat(F.col("content")).alias("flat")))
+    c = F.col("flat")
+    return once.select("id", tx.is_reference_block(c, True).alias("reference"), tx.is_front_matter_block(c, True).alias("front_matter"), tx.is_low_value(c, True).alias("low_value"), F.coalesce(tx.is_citation_heavy(c, True), F.lit(False)).alias("citation_heavy"))
 
 
 def text_references(spark, d):
@@ -133,10 +134,31 @@ def table_semantics(spark, d):
 def table_trim(spark, d):
     """Parsed tables as matrices, title rows above the header taken off."""
     t = parsed(spark, d).select("doc_id", F.posexplode("tables").alias("pos", "t"))
-    m = F.transform(F.split(F.coalesce("t.csv", F.lit("")), "\n"), lambda x: F.transform(F.split(x, ","), lambda c: F.nullif(F.trim(c), F.lit(""))))
+    m = F.transform(tables.csv_cells(F.coalesce("t.csv", F.lit(""))), lambda x: F.transform(x, lambda c: F.nullif(F.trim(c), F.lit(""))))
     return t.select("doc_id", "pos", tables.trim_titles(m).alias("x")).select("doc_id", "pos", "x.trimmed", F.size("x.rows").alias("n_rows"), F.array_join(F.get("x.rows", F.lit(0)), "|").alias("header"))
 
 
+def table_resolution(spark, d):
+    """Whether a document's tables come from the parser or from its markdown."""
+    p = parsed(spark, d)
+    own = F.filter(F.coalesce("tables", F.array()), tables.has_content)
+    x = p.select("doc_id", F.size(own).alias("n_parsed"), F.size(md.table_runs(F.col("markdown_text"))).alias("n_markdown"), tables.has_repeats(F.transform(own, lambda t: t["csv"])).alias("repeated"))
+    return x.withColumn("origin", tables.origin(F.col("n_parsed"), F.col("n_markdown"), F.col("repeated")))
+
+
+def text_segments(spark, d):
+    """Segments of chunks' lines that wide blanks part, with their places."""
+    lines = load(spark, d, "chunks").select("id", F.posexplode(F.split(F.coalesce("content", F.lit("")), "\n")).alias("line_no", "line"))
+    return lines.select("id", "line_no", F.explode(layout.segments(F.col("line"))).alias("s")).select("id", "line_no", F.col("s.start").alias("start"), F.col("s.text").alias("segment"))
+
+
+def table_cells(spark, d):
+    """Cells of the parsed tables' CSV lines, quoted ones included."""
+    t = parsed(spark, d).select("doc_id", F.posexplode("tables").alias("pos", "t"))
+    c = t.select("doc_id", "pos", F.posexplode(tables.csv_cells(F.coalesce("t.csv", F.lit("")))).alias("row_no", "cells"))
+    return c.select("doc_id", "pos", "row_no", F.size("cells").alias("n_cells"), F.array_join("cells", "|").alias("cells"))
+
+
 def chunk_documents(spark, d):
     """Chunks made from parsed documents."""
     return chunking.chunk_documents(parsed(spark, d)).drop("parent_content")
@@ -185,7 +207,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunks_current, text_clean, text_citations, text_parsed_clean, text_sentences, text_windows, text_tokens, text_flags, text_references, text_overlap, md_blocks, md_headings, md_tables, md_table_csv, header_roles,
-        table_semantics, table_trim, chunk_documents, chunk_summary, chunk_table_links, query_plan, retrieve_candidates, retrieve_answers, eligible_chunks, export_payload,
+        table_semantics, table_trim, table_resolution, table_cells, text_segments, chunk_documents, chunk_summary, chunk_table_links, query_plan, retrieve_candidates, retrieve_answers, eligible_chunks, export_payload,
     )
 }
 
@@ -208,7 +230,27 @@ _ELIGIBLE = f"""(select *, coalesce(extra.content_role, kind) as content_role, e
 _QT = f"list_filter({q.tokens('coalesce(query, ' + chr(39) * 2 + ')', 3)}, lambda t: t not in ({', '.join(map(q.quoted, tx.QUERY_STOP_WORDS))}))"
 _TEXT_TOK = "coalesce(list_distinct(list_filter(regexp_extract_all(lower(content), '[a-z0-9]+'), lambda t: length(t) > 3)), [])"
 
+_CSV = """list_transform(string_split(array_to_string(list_transform(string_split(csv, '"'), lambda x, i: case when i % 2 = 1 then replace(replace(x, ',', chr(1)), chr(10), chr(2)) else x end), '"'), chr(2)),
+  lambda r: list_transform(string_split(r, chr(1)), lambda c: case when length(trim(c)) >= 2 and starts_with(trim(c), '"') and ends_with(trim(c), '"') then replace(substr(trim(c), 2, length(trim(c)) - 2), '""', '"') else c end))"""
+_TABLES = f"(select doc_id, generate_subscripts(tables, 1)::int - 1 as pos, coalesce(unnest(tables).csv, '') as csv from {q.PARSED})"
+_CELLS = "list_transform(t, lambda c: nullif(trim(c), ''))"
+#: Unique headers of a pipe table's first line, and its cells as CSV.
+_NAMED = "list_transform(h, lambda x, i: case when x = '' then 'column_' || i else x end)"
+_UNIQUE = "list_transform(nh, lambda x, i: case when len(list_filter(nh[1:i], lambda y: y = x)) > 1 then x || ' (' || len(list_filter(nh[1:i], lambda y: y = x)) || ')' else x end)"
+_CELL = """list_transform({r}, lambda x: case when regexp_matches(x, '[",\n\r]') then '"' || replace(x, '"', '""') || '"' else x end)"""
+
 ORACLE = {
+    "md_table_csv": f"""select doc_id, pos::int as pos, array_to_string(list_concat([array_to_string({_CELL.format(r=_UNIQUE)}, ',')], list_transform(run[3:], lambda y: array_to_string({_CELL.format(r=f"list_resize({_SPLIT.format(x='y').replace('lambda y:', 'lambda z:').replace('trim(y))', 'trim(z))')}, len(h), '')")}, ','))), chr(10)) as csv
+      from (select *, {_NAMED} as nh from (select *, {_SPLIT.format(x='run[1]')} as h from ({_RUNS})))""",
+    "table_cells": f"select doc_id, pos, generate_subscripts(c, 1)::int - 1 as row_no, len(unnest(c))::int as n_cells, array_to_string(unnest(c), '|') as cells from (select doc_id, pos, {_CSV} as c from {_TABLES})",
+    "table_resolution": f"""select doc_id, n_parsed::int as n_parsed, n_markdown::int as n_markdown, repeated, case when n_parsed = 0 then 'markdown' when n_markdown > n_parsed then 'markdown' when n_markdown > 0 and repeated then 'markdown' else 'parser' end as origin from (
+      select doc_id, len(own) as n_parsed, coalesce(n, 0) as n_markdown, len(k) > len(list_distinct(k)) as repeated from (
+        select doc_id, own, list_filter(list_transform(own, lambda t: {q.collapse("lower(coalesce(t.csv, ''))")}), lambda x: x <> '') as k from (
+          select doc_id, list_filter(coalesce(tables, []), lambda t: len(list_filter(coalesce(t.rows, []), lambda r: len(list_filter(map_values(r), lambda v: trim(v) <> '')) > 0)) > 0) as own from {q.PARSED}))
+      left join (select doc_id, count(*) as n from ({_RUNS}) group by doc_id) m using (doc_id))""",
+    "text_segments": """select id, line_no, length(array_to_string(parts[1:i - 1], ''))::int as start, parts[i] as segment from (select id, line_no, parts, unnest(range(1, len(parts) + 1)) as i from (
+      select id, generate_subscripts(ls, 1)::int - 1 as line_no, regexp_extract_all(unnest(ls), '[^ \\t\\r\\f\\x0b]+(?:[ \\t\\r\\f\\x0b][^ \\t\\r\\f\\x0b]+)*|[ \\t\\r\\f\\x0b]+') as parts from (select id, string_split(coalesce(content, ''), chr(10)) as ls from chunks)))
+      where regexp_matches(parts[i], '[^ \\t\\r\\f\\x0b]')""",
     "chunks_current": f"select id, content, doc_id, kind as chunk_type, parent_header, page_number, epoch_us(ingested_at) as ingested_us from {q.CHUNKS}",
     "text_clean": f"select id, {q.clean('content')} as cleaned from chunks",
     "text_citations": f"select id, regexp_replace(content, {q.quoted(tx.INLINE_CITATION)}, '', 'g') as stripped from chunks",
