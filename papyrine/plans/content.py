@@ -186,6 +186,19 @@ def retrieve_candidates(spark, d):
     return retrieval.lexical_candidates(planned, retrieval.eligible(current_chunks(spark, d)))
 
 
+def retrieve_vectors(spark, d):
+    """Chunks nearest to each question among those that its conditions admit."""
+    planned = retrieval.plan_queries(load(spark, d, "eval_passages").select("query_id", "query"))
+    return retrieval.vector_candidates(planned, retrieval.eligible(current_chunks(spark, d)))
+
+
+def returned_content(spark, d):
+    """What is shown of each chunk made from parsed documents."""
+    made = chunking.chunk_documents(parsed(spark, d))
+    links = chunking.table_links(made).withColumnRenamed("contexts", "linked_contexts")
+    return retrieval.returned(made.join(links, ["doc_id", "table_index"], "left")).select("id", "content")
+
+
 def retrieve_answers(spark, d):
     """Ranked and diversified answers of the evaluation questions."""
     return retrieval.retrieve(load(spark, d, "eval_passages").select("query_id", "query"), current_chunks(spark, d)).drop("content")
@@ -207,7 +220,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunks_current, text_clean, text_citations, text_parsed_clean, text_sentences, text_windows, text_tokens, text_flags, text_references, text_overlap, md_blocks, md_headings, md_tables, md_table_csv, header_roles,
-        table_semantics, table_trim, table_resolution, table_cells, text_segments, chunk_documents, chunk_summary, chunk_table_links, query_plan, retrieve_candidates, retrieve_answers, eligible_chunks, export_payload,
+        table_semantics, table_trim, table_resolution, table_cells, text_segments, chunk_documents, chunk_summary, chunk_table_links, query_plan, retrieve_candidates, retrieve_vectors, retrieve_answers, returned_content, eligible_chunks, export_payload,
     )
 }
 
@@ -227,6 +240,7 @@ _CANON = q.collapse("translate(regexp_replace(" + q.collapse("lower(coalesce(par
 _ELIGIBLE = f"""(select *, coalesce(extra.content_role, kind) as content_role, extra.section_role as section_role from {q.CHUNKS}
   where not coalesce(coalesce(extra.content_role, kind) in ('reference', 'front_matter'), false) and not coalesce(extra.section_role in ('references', 'front_matter', 'unknown'), false) and not coalesce(extra.is_low_value, false)
   and not (length({q.collapse("coalesce(content, '')")}) < 30 or {q.score('content', tx.LOW_VALUE_PATTERNS)} >= 2))"""
+_Q = "lower(coalesce(query, ''))"
 _QT = f"list_filter({q.tokens('coalesce(query, ' + chr(39) * 2 + ')', 3)}, lambda t: t not in ({', '.join(map(q.quoted, tx.QUERY_STOP_WORDS))}))"
 _TEXT_TOK = "coalesce(list_distinct(list_filter(regexp_extract_all(lower(content), '[a-z0-9]+'), lambda t: length(t) > 3)), [])"
 
@@ -287,6 +301,12 @@ ORACLE = {
       array_to_string(list_filter([{', '.join(f"case when {' and '.join(q.any_of('lower(query)', c) for c in f.clauses)} then '{f.name}' end" for f in retrieval.FAMILIES)}], lambda x: x is not null), ',') as families from eval_passages""",
     "retrieve_candidates": f"""select * from (select query_id, id, shared, row_number() over (partition by query_id order by shared desc, id)::int as place from (
       select query_id, id, count(*) as shared from (select id, unnest({_TEXT_TOK}) as t from {_ELIGIBLE}) join (select query_id, unnest({_QT}) as t from eval_passages) using (t) group by all)) where place <= {retrieval.CANDIDATES}""",
+    "retrieve_vectors": f"""with c as (select id, coalesce(content_role = 'table', false) as tab, coalesce(extra.referenced_table_indices, []) as refs, {q.embedding("coalesce(content, '')")} as v from {_ELIGIBLE} where id is not null),
+      a as (select query_id, {q.any_of(_Q, retrieval.TABLE_SIGNALS)} as pt, {q.any_of(_Q, ('table', 'tabular'))} as rt, {q.any_of(_Q, ('table', 'tabular'))} and {q.any_of(_Q, retrieval.METRIC_SIGNALS)} as rm,
+        list_transform(regexp_extract_all(coalesce(query, ''), '(?i)\\btable\\s+(\\d+)\\b', 1), lambda x: try_cast(x as int)) as ix, {q.embedding("coalesce(query, '')")} as v from eval_passages),
+      s as (select query_id, id, pt, round(list_cosine_similarity(a.v::double[], c.v::double[]), 6) as score from a, c where case when tab then pt else not rm and (not rt or (case when len(ix) > 0 then len(list_intersect(refs, ix)) > 0 else len(refs) > 0 end)) end
+        and len(list_filter(a.v, lambda x: x <> 0)) > 0 and len(list_filter(c.v, lambda x: x <> 0)) > 0)
+      select query_id, id, score, place from (select *, row_number() over (partition by query_id order by score desc, id)::int as place from s) where place <= case when pt then 60 else 40 end""",
     "eligible_chunks": f"select id, doc_id, content_role, section_role from {_ELIGIBLE}",
     "export_payload": f"""select id, doc_id, kind as chunk_type, parent_header, page_number, content, coalesce(extra.content_role, kind) as content_role, extra.section_role as section_role, extra.source_file as source_file,
       extra.source_sha256 as source_sha256, extra.table_index as table_index from {q.CHUNKS}""",

@@ -9,6 +9,7 @@ from papyrine import ports
 from papyrine.functions import vectors as vx
 from papyrine.operators import evaluation as ev
 from papyrine.operators import reasoning, store
+from papyrine.plans import sql as q
 from papyrine.plans.content import current_chunks
 from papyrine.sources.tables import load
 
@@ -117,7 +118,8 @@ def point_ids(spark, d):
 
 def embed_chunks(spark, d):
     """Vectors of current chunks by the local embedder."""
-    return current_chunks(spark, d).select("id", ports.embedder()(F.col("content")).alias("embedding"))
+    e = current_chunks(spark, d).select("id", ports.embedder()(F.col("content")).alias("e"))
+    return e.select("id", F.array_join(F.transform("e", lambda x: x.cast("int").cast("string")), ",").alias("embedding"))
 
 
 def events_latest(spark, d):
@@ -175,6 +177,7 @@ ORACLE = {
     "eval_regressions": f"select * from (select query_id, 'regressed' as issue, array_to_string(list_filter([{_FIELDS}], lambda x: x is not null), ',') as fields from ({_metrics(3)}) a join ({_metrics(10)}) b using (query_id)) where fields <> ''",
     "eval_gate": f"with a as ({_summary(3)}), b as ({_summary(10)}) select metric, baseline, candidate, round_even(candidate - baseline, 4) as delta, coalesce(round_even(candidate - baseline, 4) >= -0.02, false) as passed from ({_UNPIVOT})",
     "answer_confidence": f"select query_id, count(*) as citations, count(distinct label) as docs, case when count(*) >= 4 and count(distinct label) >= 2 then 'HIGH' when count(*) >= 2 then 'MEDIUM' else 'LOW' end as confidence from ({_near(5)}) n join embeddings e on e.vec_id = n.id group by query_id",
+    "embed_chunks": f"select id, array_to_string({q.embedding("coalesce(content, '')")}, ',') as embedding from {q.CHUNKS}",
     "point_ids": f"""select id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', 1 + ('0x' || substr(h, 17, 1))::int, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) as point_id
       from (select id, sha1(unhex('{vx.URL_NAMESPACE}') || encode(id)) as h from (select distinct id from chunks where id is not null))""",
     "events_latest": "select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by ts desc nulls last, event_id desc) as rn from events) where rn = 1",

@@ -44,6 +44,12 @@ def sentences(x: str) -> str:
     return f"list_filter(string_split(regexp_replace({flat}, '([.!?])\\s+([A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: trim(s) <> '')"
 
 
+def embedding(x: str) -> str:
+    """Signed counts of hashed words, as the default embedder gives them."""
+    hashes = f"list_transform(regexp_extract_all(lower({x}), '[a-z0-9]+'), lambda w: ('0x' || substr(md5(w), 1, 8))::bigint)"
+    return f"(select list_transform(range(64), lambda d: coalesce(list_sum(list_transform(list_filter(hs, lambda h: h % 64 = d), lambda h: case when h // 256 % 2 = 1 then 1 else -1 end)), 0)::int) from (select {hashes} as hs))"
+
+
 #: Current rows of chunks, by the same order as the engine's.
 CHUNKS = """(select * exclude (rn), lower(trim(chunk_type)) as kind from (
   select *, row_number() over (partition by id order by ingested_at desc nulls last, content desc nulls last, doc_id desc nulls last, chunk_type desc nulls last, parent_header desc nulls last, page_number desc nulls last) as rn

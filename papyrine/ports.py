@@ -7,9 +7,11 @@ fails for a while.
 
 from __future__ import annotations
 
+import hashlib
+import re
 import time
-import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,18 +19,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+_WORDS = re.compile("[a-z0-9]+").findall
 DIMENSIONS, BATCH, TRIES, PAUSE = 64, 64, 3, 1.0
 
 
+@lru_cache(1 << 16)
+def _slot(word: str) -> tuple[int, int]:
+    h = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+    return h % DIMENSIONS, 1 if h // 256 % 2 else -1
+
+
 def hashing_embedder(texts: list[str]) -> list[list[float]]:
-    """Unit vectors of hashed words; the same text always gives the same vector."""
-    out = np.zeros((len(texts), DIMENSIONS), dtype=np.float64)
+    """Signed counts of hashed words; the same text always gives the same vector.
+
+    Cosine doesn't look at lengths, so vectors stay whole numbers.
+    """
+    out = np.zeros((len(texts), DIMENSIONS), dtype=np.float32)
     for i, t in enumerate(texts):
-        for w in (t or "").lower().split():
-            h = zlib.crc32(w.encode())
-            out[i, h % DIMENSIONS] += 1 if h & 0x80000000 else -1
-    n = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.divide(out, n, out=np.zeros_like(out), where=n > 0).astype(np.float32).tolist()
+        for w in _WORDS((t or "").lower()):
+            at, sign = _slot(w)
+            out[i, at] += sign
+    return out.tolist()
 
 
 def with_retry(call: Callable, tries: int = TRIES, pause: float = PAUSE, again: Callable[[Exception], bool] = lambda e: isinstance(e, (TimeoutError, ConnectionError))) -> Callable:
