@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from papyrine.functions.text import collapse
-
-from papyrine.functions.text import CAPTION_CHARS
+from papyrine.functions.text import CAPTION_CHARS, collapse
 
 # ---- fixed values
 METRIC_WORDS = r"\b(?:sensitivity|specificity|accuracy|positive predictive|negative predictive|ppv|npv|auc|roc|lod|limit of detection)\b"

@@ -248,6 +248,24 @@ _CSV = """list_transform(string_split(array_to_string(list_transform(string_spli
   lambda r: list_transform(string_split(r, chr(1)), lambda c: case when length(trim(c)) >= 2 and starts_with(trim(c), '"') and ends_with(trim(c), '"') then replace(substr(trim(c), 2, length(trim(c)) - 2), '""', '"') else c end))"""
 _TABLES = f"(select doc_id, generate_subscripts(tables, 1)::int - 1 as pos, coalesce(unnest(tables).csv, '') as csv from {q.PARSED})"
 _CELLS = "list_transform(t, lambda c: nullif(trim(c), ''))"
+_LOW = "list_filter(list_transform(list_filter(r, lambda x: x is not null), lambda x: lower(trim(x))), lambda x: x <> '')"
+
+
+def _parsed_clean(x: str) -> str:
+    """Clean-up of freshly parsed markdown. A pattern with a word character at both ends is replaced twice, since matches can't overlap."""
+    sub = lambda x, p, by: f"regexp_replace({x}, {q.quoted(p)}, {q.quoted(by)}, 'g')"
+    x = sub(x, r"(?i)<!--\s*image\s*-->", " ")
+    for _ in range(2):
+        x = sub(x, r"([\pL\pN_\pM])[ \t]{2,}([\pL\pN_\pM])", "\\1 \\2")
+    for parts, any_case, after in tx.PARTED:
+        lead = ("(?i)" if any_case else "") + r"([A-Za-z])\s+" + r"\s+".join(parts)
+        x = sub(x, lead + (r"\s+([A-Za-z]{2,}\b)" if "?=" in after else after), "\\1" + "".join(parts) + (" \\2" if "?=" in after else ""))
+    x = sub(x, tx.INLINE_CITATION, "")
+    x = sub(x, r"\s+([,.;:!?])", "\\1")
+    x = sub(x, r"[ \t]+\n", "\n")
+    return q.strip(sub(x, r"\n{3,}", "\n\n"))
+
+
 #: Unique headers of a pipe table's first line, and its cells as CSV.
 _NAMED = "list_transform(h, lambda x, i: case when x = '' then 'column_' || i else x end)"
 _UNIQUE = "list_transform(nh, lambda x, i: case when len(list_filter(nh[1:i], lambda y: y = x)) > 1 then x || ' (' || len(list_filter(nh[1:i], lambda y: y = x)) || ')' else x end)"
@@ -256,6 +274,19 @@ _CELL = """list_transform({r}, lambda x: case when regexp_matches(x, '[",\n\r]')
 ORACLE = {
     "md_table_csv": f"""select doc_id, pos::int as pos, array_to_string(list_concat([array_to_string({_CELL.format(r=_UNIQUE)}, ',')], list_transform(run[3:], lambda y: array_to_string({_CELL.format(r=f"list_resize({_SPLIT.format(x='y').replace('lambda y:', 'lambda z:').replace('trim(y))', 'trim(z))')}, len(h), '')")}, ','))), chr(10)) as csv
       from (select *, {_NAMED} as nh from (select *, {_SPLIT.format(x='run[1]')} as h from ({_RUNS})))""",
+    "table_trim": f"""select doc_id, pos, trimmed::int as trimmed, (len(m) - trimmed)::int as n_rows, array_to_string(m[trimmed + 1], '|') as header from (select *, case when mode > 1 then coalesce(list_position(sure, true) - 1, 0) else 0 end as trimmed from (
+      select *, list_transform(top, lambda r: not ((len(list_filter(r, lambda x: x is not null)) <= greatest(1, floor(mode * {tables.SPARSE})) and len(list_filter(r, lambda x: x is not null)) < mode)
+          or coalesce(len({_LOW}) > 0 and len(list_distinct({_LOW})) / greatest(len({_LOW}), 1) <= {tables.LOW_VARIANCE}, false))
+        and len(list_filter(r, lambda x: x is not null)) >= mode and len(list_filter({_LOW}, lambda x: regexp_matches(x, '\\p{{L}}'))) / greatest(len({_LOW}), 1) >= {tables.TEXT_SHARE}) as sure from (
+        select *, list_sort(list_transform(list_distinct(source), lambda n: {{'times': -len(list_filter(source, lambda y: y = n)), 'n': n}}))[1].n as mode from (
+          select *, case when len(list_filter(density, lambda n: n > 1)) > 0 then list_filter(density, lambda n: n > 1) else density end as source from (
+            select *, list_transform(top, lambda r: len(list_filter(r, lambda x: x is not null))) as density from (select doc_id, pos, m, m[1:{tables.WINDOW_ROWS}] as top from (
+              select doc_id, pos, list_transform({_CSV}, lambda r: list_transform(r, lambda c: nullif(trim(c), ''))) as m from {_TABLES})))))))""",
+    "text_parsed_clean": f"""select doc_id, case when first is null then c else array_to_string(flatten(list_transform(ls, lambda x, i: case when i = first then ['## Structured Abstract', trim(x)] else [x] end)), chr(10)) end as cleaned from (
+      select *, list_filter(marks, lambda k: k < body)[1] as first from (
+        select doc_id, c, ls, coalesce(list_position(list_transform(ls, lambda x: regexp_matches(lower(trim(x)), '^##\\s+(methods|results|discussion|introduction|conclusion)\\b')), true), least(len(ls), 80) + 1) as body,
+          list_filter(list_transform(ls, lambda x, i: case when regexp_matches(lower(trim(x)), '^(background|methods|results|conclusions?)\\.') then i end), lambda x: x is not null) as marks
+        from (select doc_id, c, string_split(c, chr(10)) as ls from (select doc_id, {_parsed_clean("coalesce(markdown_text, '')")} as c from {q.PARSED}))))""",
     "table_cells": f"select doc_id, pos, generate_subscripts(c, 1)::int - 1 as row_no, len(unnest(c))::int as n_cells, array_to_string(unnest(c), '|') as cells from (select doc_id, pos, {_CSV} as c from {_TABLES})",
     "table_resolution": f"""select doc_id, n_parsed::int as n_parsed, n_markdown::int as n_markdown, repeated, case when n_parsed = 0 then 'markdown' when n_markdown > n_parsed then 'markdown' when n_markdown > 0 and repeated then 'markdown' else 'parser' end as origin from (
       select doc_id, len(own) as n_parsed, coalesce(n, 0) as n_markdown, len(k) > len(list_distinct(k)) as repeated from (

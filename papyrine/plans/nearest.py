@@ -92,14 +92,17 @@ def answer_confidence(spark, d):
 
 
 def answer_eval(spark, d):
-    """Summary of answers made from the evaluation passages by the local model."""
+    """Summary of the local model's answers to the evaluation questions."""
     from papyrine.operators import retrieval
 
     q = load(spark, d, "eval_passages").select("query_id", "query", "passage")
     results = retrieval.retrieve(q.select("query_id", "query"), current_chunks(spark, d))
     answers = reasoning.research(q.select("query_id", "query"), results)
-    first = results.where("rank = 1").select("query_id", F.array("doc_id").alias("expected_doc_ids"))
-    expected = q.select("query_id", F.lit(False).alias("expected_abstain"), F.lit("LOW").alias("expected_confidence_min")).join(first, "query_id", "left")
+    # What is expected comes from the answer passage, which the system never sees: the document nearest to it.
+    asked = retrieval.plan_queries(q.select("query_id", F.col("passage").alias("query")))
+    pool = retrieval.eligible(current_chunks(spark, d))
+    nearest = retrieval.vector_candidates(asked, pool, k=1).join(pool.select("id", "doc_id"), "id").select("query_id", F.array("doc_id").alias("expected_doc_ids"))
+    expected = q.select("query_id", F.lit(False).alias("expected_abstain"), F.lit("LOW").alias("expected_confidence_min")).join(nearest, "query_id", "left")
     return ev.answer_summary(ev.answer_metrics(answers, expected))
 
 
