@@ -27,6 +27,18 @@ select item_kind, item_id, case
   else 'hard' end as cut
 from items"""
 
-_WORDS = "regexp_extract_all(lower(translate(nfc_normalize({x}), chr(173) || chr(8203) || chr(8204) || chr(8205) || chr(65279), '')), '[\\p{{L}}\\p{{N}}]+')"
-
-ORACLE = {"p5_found": P5_FOUND}
+#: Earlier items that each item matches, then items in order: one that matches no accepted item is accepted.
+P4_FOUND = """
+with recursive raw as (select item_id, abstract_text, nullif(trim(regexp_replace(lower(source_sha256), '\\s+', ' ', 'g')), '') as k1, nullif(trim(regexp_replace(lower(source_file), '\\s+', ' ', 'g')), '') as k2,
+    nullif(trim(regexp_replace(lower(doc_id), '\\s+', ' ', 'g')), '') as k3, regexp_extract_all(lower(coalesce(abstract_text, '')), '[\\p{L}\\p{N}]+') as w from intake_items where item_id is not null),
+  items as (select item_id, k1, k2, k3, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as s, row_number() over (order by item_id) as rn from raw),
+  runs as (select item_id, len(s) as n, unnest(s) as r from items),
+  near as (select a.item_id as a, b.item_id as b from runs a join runs b on a.r = b.r and a.item_id < b.item_id and a.n * 5 >= b.n * 4 and b.n * 5 >= a.n * 4 group by a.item_id, b.item_id, a.n, b.n having count(*) * 9 >= (a.n + b.n) * 4),
+  pairs as (select a, b from near union select x.item_id, y.item_id from items x join items y on x.item_id < y.item_id and (x.k1 = y.k1) union select x.item_id, y.item_id from items x join items y on x.item_id < y.item_id and x.k2 = y.k2
+    union select x.item_id, y.item_id from items x join items y on x.item_id < y.item_id and x.k3 = y.k3),
+  asked as materialized (select i.rn, i.item_id, coalesce(list(p.a) filter (p.a is not null), []) as before from items i left join pairs p on p.b = i.item_id group by i.rn, i.item_id),
+  taken as (select 0::bigint as rn, []::bigint[] as acc, null::bigint as kept, null::bigint as item
+    union all select a.rn, case when len(list_intersect(t.acc, a.before)) = 0 then list_append(t.acc, a.item_id) else t.acc end, list_min(list_intersect(t.acc, a.before)), a.item_id from taken t join asked a on a.rn = t.rn + 1)
+select kept as kept_id, item as dup_id from taken where kept is not null"""
+
+ORACLE = {"p4_found": P4_FOUND, "p5_found": P5_FOUND}
