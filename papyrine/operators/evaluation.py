@@ -50,6 +50,21 @@ def retrieval_metrics(results: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
+def near_duplicates(contents: Column) -> Column:
+    """How many of a result's contents nearly repeat an earlier one that doesn't itself.
+
+    ``contents`` is one question's few results in order; contents without words don't count.
+    """
+    sets = F.filter(F.transform(contents, lambda c: tx.token_set(c)), lambda t: F.size(t) > 0)
+    start = F.struct(F.array().cast("array<array<string>>").alias("kept"), F.lit(0).alias("n"))
+
+    def step(acc: Column, t: Column) -> Column:
+        again = F.exists(acc["kept"], lambda k: tx.overlap(t, k) > tx.NEAR_DUPLICATE_OVERLAP)
+        return F.struct(F.when(again, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(t))).alias("kept"), (acc["n"] + again.cast("int")).alias("n"))
+
+    return F.aggregate(sets, start, step, lambda acc: acc["n"])
+
+
 def retrieval_summary(metrics: DataFrame) -> DataFrame:
     """One row of rates and totals; rates of no queries are 0, averages null."""
     n = F.count("*")
@@ -143,8 +158,3 @@ def regressions(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     fields = F.when(missing, F.array().cast("array<string>")).otherwise(F.filter(F.array(*checks), lambda x: x.isNotNull()))
     out = j.select(F.coalesce("a.query_id", "b.query_id").alias("query_id"), F.when(missing, "missing_query").otherwise("regressed").alias("issue"), fields.alias("fields"))
     return out.where((F.col("issue") == "missing_query") | (F.size("fields") > 0))
-
-
-def gate(issues: Column, review: Column) -> Column:
-    """fail where there are issues, review_required where something is to be looked at, else pass."""
-    return F.when(issues > 0, "fail").when(review, "review_required").otherwise("pass")

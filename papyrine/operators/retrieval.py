@@ -298,7 +298,8 @@ def select(ordered: DataFrame, limit: int = 5) -> DataFrame:
     """
     kind = ordered.schema["query_id"].dataType.simpleString()
     asked = F.col("doc_filter") if "doc_filter" in ordered.columns else F.lit("")
-    cols = ["query_id", "id", "doc_id", "parent_id", "parent_header", "content", "chunk_type", "position", "prefers_metadata", F.coalesce(asked, F.lit("")).alias("doc_filter"), sections.is_metadata_like(F.col("parent_header")).alias("meta")]
+    abstracts = F.col("prefers_metadata") if "prefers_metadata" in ordered.columns else F.lit(False).alias("prefers_metadata")
+    cols = ["query_id", "id", "doc_id", "parent_id", "parent_header", "content", "chunk_type", "position", abstracts, F.coalesce(asked, F.lit("")).alias("doc_filter"), sections.is_metadata_like(F.col("parent_header")).alias("meta")]
     schema = f"query_id {kind}, id string, doc_id string, parent_header string, content string, chunk_type string, rank long"
     return ordered.select(*cols).groupBy("query_id").applyInPandas(lambda pdf: _select(pdf, limit), schema)
 

@@ -65,7 +65,33 @@ def _values_sql() -> str:
     return f"with a as ({_side('manifest_docs', ('chunk_count', 'text_chunk_count', 'table_chunk_count'))}), b as ({_side('registry_docs', ('chunks', 'text_chunks', 'table_chunks'))}) " + " union all ".join(parts)
 
 
+#: Fields of each file with the type of most values; fields that vanished and came at once compared by
+#: value; and the last known type carried from file to file, under a former name too.
+_CHANGES = """
+with recursive rec as (select * from manifest_files where coalesce(json_valid(payload), false) and json_type(payload) = 'OBJECT'),
+  e as (select collection, file_name, written_at, row_id, payload ->> '$.doc_id' as doc, k as field, json_extract(payload, '$."' || k || '"') as v from (select *, unnest(json_keys(payload)) as k from rec)),
+  t as (select *, case json_type(v) when 'VARCHAR' then 'string' when 'UBIGINT' then 'integer' when 'BIGINT' then 'integer' when 'HUGEINT' then 'integer' when 'DOUBLE' then 'float' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then 'object' end as kind from e),
+  n as (select collection, file_name, written_at, field, kind, count(*) as c from t group by all),
+  s as (select collection, file_name, written_at, field, arg_max(kind, (c, -ascii(kind))) filter (kind is not null) as kind from n group by all),
+  o as (select collection, file_name, row_number() over (partition by collection order by written_at, file_name) as seq from (select distinct collection, file_name, written_at from s)),
+  p as (select s.collection, s.file_name, seq, field, kind from s join o on s.collection is not distinct from o.collection and s.file_name = o.file_name),
+  gone as (select p.collection, p.seq + 1 as seq, field from p join o on o.collection is not distinct from p.collection and o.seq = p.seq + 1 where not exists (from p y where y.collection is not distinct from p.collection and y.seq = p.seq + 1 and y.field = p.field)),
+  come as (select collection, file_name, seq, field from p where seq > 1 and not exists (from p y where y.collection is not distinct from p.collection and y.seq = p.seq - 1 and y.field = p.field)),
+  val as (select t.collection, seq, field, doc, arg_max(v, row_id) as v from t join o on t.collection is not distinct from o.collection and t.file_name = o.file_name where kind is not null and doc is not null group by all),
+  agree as (select g.collection, g.seq, g.field as old, c.field as new, avg((a.v = b.v)::int) as share, count(*) as k from gone g join come c on g.collection is not distinct from c.collection and g.seq = c.seq
+    join val a on a.collection is not distinct from g.collection and a.seq = g.seq - 1 and a.field = g.field join val b on b.collection is not distinct from g.collection and b.seq = g.seq and b.field = c.field and b.doc = a.doc group by all having share > 0.5),
+  moved as (select collection, seq, old, new from agree qualify row_number() over (partition by collection, seq, old order by share desc, k desc, new) = 1 and row_number() over (partition by collection, seq, new order by share desc, k desc, old) = 1),
+  before as materialized (select p.*, coalesce(m.old, case when c.field is null and p.seq > 1 then p.field end) as former from p left join come c on c.collection is not distinct from p.collection and c.seq = p.seq and c.field = p.field
+    left join moved m on m.collection is not distinct from p.collection and m.seq = p.seq and m.new = p.field),
+  known as (select collection, file_name, seq, field, kind as last, null::varchar as earlier, kind from before where former is null
+    union all select b.collection, b.file_name, b.seq, b.field, coalesce(b.kind, k.last), k.last, b.kind from known k join before b on b.collection is not distinct from k.collection and b.seq = k.seq + 1 and b.former = k.field)
+select file_name, '' as old_field, field as new_field, 'added' as change from come c where not exists (from moved m where m.collection is not distinct from c.collection and m.seq = c.seq and m.new = c.field)
+union all select o.file_name, g.field, '', 'removed' from gone g join o on o.collection is not distinct from g.collection and o.seq = g.seq where not exists (from moved m where m.collection is not distinct from g.collection and m.seq = g.seq and m.old = g.field)
+union all select o.file_name, m.old, m.new, 'renamed' from moved m join o on o.collection is not distinct from m.collection and o.seq = m.seq
+union all select file_name, field, field, 'type_changed' from known where kind is not null and earlier is not null and kind <> earlier"""
+
 ORACLE = {
+    "p3_found": _CHANGES,
     "p2_values": _values_sql(),
     "p2_found": f"select collection, doc_id, field from ({_values_sql()})",
     "p2_summary": f"select collection, field, count(*) as n from ({_values_sql()}) group by all",

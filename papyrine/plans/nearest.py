@@ -73,6 +73,12 @@ def eval_summary(spark, d):
     return summary(spark, d, 5)
 
 
+def eval_near_duplicates(spark, d):
+    """How many of each search's results nearly repeat an earlier one."""
+    g = _results(spark, d, 5).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "content"))).alias("r"))
+    return g.select("query_id", ev.near_duplicates(F.transform("r", lambda x: x["content"])).alias("near_duplicates"))
+
+
 def eval_regressions(spark, d):
     """Searches that are worse with ten results than with three."""
     x = _expected(spark, d)
@@ -138,7 +144,7 @@ def events_upsert(spark, d):
     return store.upsert(one(e.where(click)), one(e.where(~click)), ["user_id"]).drop("ts")
 
 
-QUERIES = {f.__name__: f for f in (vec_topk, vec_topk_filtered, vec_min_should, vec_topk_batch, eval_per_query, eval_summary, eval_regressions, eval_gate, answer_confidence, answer_eval, answers, point_ids, embed_chunks, events_latest, events_upsert)}
+QUERIES = {f.__name__: f for f in (vec_topk, vec_topk_filtered, vec_min_should, vec_topk_batch, eval_per_query, eval_summary, eval_near_duplicates, eval_regressions, eval_gate, answer_confidence, answer_eval, answers, point_ids, embed_chunks, events_latest, events_upsert)}
 
 _COS = "round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6)"
 
@@ -177,6 +183,7 @@ ORACLE = {
     "vec_topk_batch": _near(10),
     "eval_per_query": _metrics(5),
     "eval_summary": _summary(5),
+    "eval_near_duplicates": f"select query_id, (count(*) - count(distinct id % 3 = 0))::int as near_duplicates from ({_near(5)}) group by query_id",
     "eval_regressions": f"select * from (select query_id, 'regressed' as issue, array_to_string(list_filter([{_FIELDS}], lambda x: x is not null), ',') as fields from ({_metrics(3)}) a join ({_metrics(10)}) b using (query_id)) where fields <> ''",
     "eval_gate": f"with a as ({_summary(3)}), b as ({_summary(10)}) select metric, baseline, candidate, round_even(candidate - baseline, 4) as delta, coalesce(round_even(candidate - baseline, 4) >= -0.02, false) as passed from ({_UNPIVOT})",
     "answer_confidence": f"select query_id, count(*) as citations, count(distinct label) as docs, case when count(*) >= 4 and count(distinct label) >= 2 then 'HIGH' when count(*) >= 2 then 'MEDIUM' else 'LOW' end as confidence from ({_near(5)}) n join embeddings e on e.vec_id = n.id group by query_id",
