@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 #: Words of the run looked for; words of passages in one block (a passage is never parted, so
 #: one beyond that is a block by itself); latent dimensions at most. A model takes some
 #: 4 * rank + 250 bytes for each word of its passages.
-RUN, BLOCK_WORDS, RANK = 12, 32_000, 128
+RUN, BLOCK_WORDS, RANK = 12, 32_000, 64
 #: Bytes of models that are broadcast together and searched in one pass over the documents.
 PASS_BYTES = 96 << 20
 #: Paraphrases: least cosine (of the window's words that passages have, in the latent space,
@@ -111,7 +111,14 @@ class Model:
         # One more row, of zeros, for words that no passage has.
         self.words = np.vstack([v * self.idf[:, None], np.zeros((1, v.shape[1]))]).astype(np.float32) if n else np.zeros((1, 0), np.float32)
         self.weight = np.append(self.idf, 0).astype(np.float32)
-        self.grams = [{s[i : i + k].tobytes() for i in range(len(s) - k + 1)} for s, k in zip(sequences, self.need.tolist())]
+        # Runs to look for, by length: hashes in order, with passage and place of each.
+        self.runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k in sorted(set(self.need.tolist())):
+            of = [i for i in range(n) if self.need[i] == k]
+            h = np.concatenate([_gram_hashes(sequences[i], k) for i in of])
+            sizes = [len(sequences[i]) - k + 1 for i in of]
+            order = np.argsort(h, kind="stable")
+            self.runs[k] = h[order], np.repeat(of, sizes)[order], np.concatenate([np.arange(m) for m in sizes])[order]
         self.answers = []
         for s in sequences:
             # What an answer states: its numbers and the rarer half of its words.
@@ -138,14 +145,40 @@ class Model:
         last = len(self.weight) - 1
         return self.held[self._slot(passage, word)] & (word != last) & (word >= 0)
 
-    def candidates(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows of padded word ids (blocks x run), passages and cosines: all that may hold a
-        run, and all that reach the least cosine."""
+    def run_hits(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in a sequence of word ids where a run of a passage begins, and the passages."""
+        # How many words from each place on are known without a break.
+        gap = np.flatnonzero(flat < 0)
+        ahead = np.concatenate([gap, [len(flat)]])[np.searchsorted(gap, np.arange(len(flat)))] - np.arange(len(flat))
+        places, passages = [], []
+        for k, (hashes, of, start) in self.runs.items():
+            at = np.flatnonzero(ahead >= k)
+            if not len(at):
+                continue
+            h = np.zeros(len(at), np.uint64)
+            for j in range(k):
+                h = h * _MIX + flat[at + j].astype(np.uint64)
+            low, high = np.searchsorted(hashes, h), np.searchsorted(hashes, h, side="right")
+            for x in np.flatnonzero(high > low):
+                for y in range(low[x], high[x]):
+                    if np.array_equal(self.sequences[of[y]][start[y] : start[y] + k], flat[at[x] : at[x] + k]):
+                        places.append(at[x])
+                        passages.append(of[y])
+        return np.array(places, dtype=np.int64), np.array(passages, dtype=np.int64)
+
+    def candidates(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows of padded word ids (blocks x run), passages, cosines, and whether a run is there.
+
+        All that reach the bound and hold a run, and all that reach the least cosine. A run
+        lies in the window that begins with its first word's block.
+        """
         known = ids >= 0
         count = known.sum(1)
         pair = np.flatnonzero((count[:-1] + count[1:]) > 0)
-        hit_w, hit_p, hit_c = [], [], []
+        hit_w, hit_p, hit_c, hit_r = [], [], [], []
         safe = np.where(known, ids, len(self.weight) - 1)
+        place, passage = self.run_hits(ids.reshape(-1))
+        block = place // ids.shape[1]
         for part in np.array_split(pair, max(1, len(pair) // 8192)):
             if not len(part):
                 continue
@@ -155,18 +188,20 @@ class Model:
             whole = self._square(w)
             outside = np.sqrt(np.maximum(whole - (u * u).sum(1), 0) + 1e-6 * whole)
             dot = u @ self.latent.T
-            cosine = dot / (np.sqrt(whole)[:, None] + 1e-9) / self.norm[None, :]
-            bound = self.least[None, :] * (1 - 1e-4) - outside[:, None] * self.left_out[None, :]
-            a, b = np.nonzero((dot >= bound) | (cosine >= COSINE))
-            # A run is no longer than the words that both have.
-            kept = (cosine[a, b] >= COSINE) | (self.holds(b[:, None], w[a]).sum(1) >= self.need[b])
-            a, b = a[kept], b[kept]
+            near = dot >= (COSINE * np.sqrt(whole) + 1e-9)[:, None] * self.norm[None, :]
+            run = np.zeros(dot.shape, bool)
+            own = np.flatnonzero((block >= part[0]) & (block <= part[-1]))
+            x, y = np.searchsorted(part, block[own]), passage[own]
+            bound = self.least[y] * (1 - 1e-4) - outside[x] * self.left_out[y]
+            run[x, y] = dot[x, y] >= bound
+            a, b = np.nonzero(near | run)
             hit_w.append(part[a])
             hit_p.append(b)
-            hit_c.append(cosine[a, b])
+            hit_c.append(dot[a, b] / (np.sqrt(whole[a]) + 1e-9) / self.norm[b])
+            hit_r.append(run[a, b])
         if not hit_w:
-            return np.empty(0, int), np.empty(0, int), np.empty(0)
-        return np.concatenate(hit_w), np.concatenate(hit_p), np.concatenate(hit_c)
+            return np.empty(0, int), np.empty(0, int), np.empty(0), np.empty(0, bool)
+        return np.concatenate(hit_w), np.concatenate(hit_p), np.concatenate(hit_c), np.concatenate(hit_r)
 
     def _square(self, w: np.ndarray) -> np.ndarray:
         """Squared lengths of windows' vectors. The k-th occurrence of a word adds 2k - 1 times its square."""
@@ -179,7 +214,7 @@ class Model:
         return out
 
     def hopeful(self, ids: np.ndarray, w: np.ndarray, p: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Whether a candidate may hold a run, or its surroundings enough for a paraphrase.
+        """Whether a candidate's surroundings may hold enough for a paraphrase.
 
         ``low`` and ``high`` are the first block of its document and the first of the next. A
         common subsequence is no longer than the words of the surroundings that the passage has.
@@ -189,17 +224,25 @@ class Model:
         for part in np.array_split(np.arange(len(w)), max(1, len(w) // 100_000)):
             i, x = p[part], w[part]
             side = -(-size[i] // self.run)
-            own, around = np.zeros(len(part), int), np.zeros(len(part), int)
-            for k in range(-int(side.max()), int(side.max()) + 2):
+            around = np.zeros(len(part), int)
+            for k in range(-int(side.max()), int(side.max()) + 2) if len(part) else ():
                 at = np.flatnonzero((x + k >= low[part]) & (x + k < high[part]) & (k >= -side) & (k <= side + 1))
-                n = self.holds(i[at, None], ids[x[at] + k]).sum(1)
-                around[at] += n
-                if k in (0, 1):
-                    own[at] += n
-            out.append((own >= self.need[i]) | (around >= LCS_SHARE * size[i]))
+                around[at] += self.holds(i[at, None], ids[x[at] + k]).sum(1)
+            out.append(around >= LCS_SHARE * size[i])
         return np.concatenate(out)
 
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _gram_hashes(sequence: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of k word ids."""
+    h = np.zeros(len(sequence) - k + 1, np.uint64)
+    for j in range(k):
+        h = h * _MIX + sequence[j : len(sequence) - k + 1 + j].astype(np.uint64)
+    return h
+
+
 def _masks(sequence: list[int]) -> dict[int, int]:
     out: dict[int, int] = {}
     for i, x in enumerate(sequence):
@@ -219,11 +262,6 @@ def lcs_length(masks: dict[int, int], n: int, other: list[int]) -> int:
     return n - row.bit_count()
 
 
-def longest_run(grams: set[bytes], need: int, ids: np.ndarray) -> bool:
-    """Whether ``ids`` hold ``need`` consecutive words of the passage."""
-    return any(ids[i : i + need].tobytes() in grams for i in range(len(ids) - need + 1))
-
-
 def build(passages: DataFrame, id_col: str = "item_id", text_col: str = "passage", block_words: int = BLOCK_WORDS) -> Iterator[bytes]:
     """Models of the passages, one for each block of about ``block_words`` words at most.
 
@@ -304,57 +342,44 @@ def _search(model: Model, keys: pa.Array, rows: list[list[int]]) -> Iterator[pa.
     flat = ids.reshape(-1)
     for r, b in zip(rows, first):
         flat[b * run : b * run + len(r)] = r
-    w, p, c = model.candidates(ids)
+    w, p, c, run_there = model.candidates(ids)
     if not len(w):
         return
     doc = np.searchsorted(first, w, side="right") - 1
     # Windows that begin with the block between documents hold the next document's words.
     inside = w < first[doc + 1] - 1
-    w, p, c, doc = w[inside], p[inside], c[inside], doc[inside]
+    w, p, c, doc, run_there = w[inside], p[inside], c[inside], doc[inside], run_there[inside]
     if not len(w):
         return
     # A pair none of whose candidates can come to anything needs no closer look.
+    hope = run_there | model.hopeful(ids, w, p, first[doc], first[doc + 1])
     _, pair = np.unique(doc * len(model.items) + p, return_inverse=True)
-    hope = np.zeros(int(pair.max()) + 1, bool)
-    hope[pair[model.hopeful(ids, w, p, first[doc], first[doc + 1])]] = True
-    left = np.flatnonzero(hope[pair])
-    groups: dict[tuple[int, int], list[tuple[int, float]]] = {}
-    best: dict[tuple[int, int], float] = {}
-    for d, i, x, cos in zip(doc[left].tolist(), p[left].tolist(), w[left].tolist(), c[left].tolist()):
-        groups.setdefault((d, i), []).append((x, cos))
-        best[d, i] = max(best.get((d, i), -1.0), cos)
+    some = np.zeros(int(pair.max()) + 1, bool)
+    some[pair[hope]] = True
+    best = np.full(len(some), -1.0)
+    np.maximum.at(best, pair, c)
+    groups: dict[int, list[int]] = {}
+    for k in np.flatnonzero(hope & some[pair]).tolist():
+        groups.setdefault(int(pair[k]), []).append(k)
     out: list[tuple] = []
-    for (d, i), windows in groups.items():
-        base, n, need = int(first[d]), lengths[d], int(model.need[i])
-        size = len(model.sequences[i])
-        own = np.array(rows[d], dtype=np.int32)
-        held = model.holds(i, own)
-        before = np.concatenate([[0], np.cumsum(held)])
-        # A run's window has a common subsequence of the run's length with the passage; one
-        # that reaches the least cosine may be a paraphrase without.
-        near, exact = [], False
-        for x, cos in windows:
-            a = (x - base) * run
-            b = min(n, a + 2 * run)
-            enough = before[b] - before[a] >= need and lcs_length(model.masks[i], size, own[a:b].tolist()) >= need
-            if enough:
-                exact = exact or longest_run(model.grams[i], need, own[a:b])
-            if enough or cos >= COSINE:
-                near.append(a)
-        if not near:
-            continue
+    for g, windows in groups.items():
+        d, i = int(doc[windows[0]]), int(p[windows[0]])
+        base, n, size = int(first[d]) * run, lengths[d], len(model.sequences[i])
+        own = flat[base : base + n]
         share = answer = 0.0
-        for a in near:
-            low, high = max(0, a - size), min(n, a + 2 * run + size)
-            count = int(before[high] - before[low])
-            if share == answer == 1 or count <= share * size and answer == 1:
-                continue
-            part = own[low:high][held[low:high]].tolist()
-            if count > share * size:
+        for x in sorted({int(w[k]) for k in windows}):
+            a = x * run - base
+            part = own[max(0, a - size) : min(n, a + 2 * run + size)]
+            part = part[model.holds(i, part)].tolist()
+            if len(part) > share * size:
                 share = max(share, lcs_length(model.masks[i], size, part) / size)
-            answer = max(answer, len(model.answers[i].intersection(part)) / len(model.answers[i]))
-        if exact or (best[d, i] >= COSINE and share >= LCS_SHARE and answer >= ANSWER_SHARE):
-            out.append((d, model.items[i], float(best[d, i]), share, answer, exact))
+            if answer < 1:
+                answer = max(answer, len(model.answers[i].intersection(part)) / len(model.answers[i]))
+            if share == answer == 1:
+                break
+        exact = bool(run_there[windows].any())
+        if exact or (best[g] >= COSINE and share >= LCS_SHARE and answer >= ANSWER_SHARE):
+            out.append((d, model.items[i], float(best[g]), share, answer, exact))
     if out:
         d, item, cos, share, answer, exact = zip(*out)
         yield pa.RecordBatch.from_arrays(
