@@ -160,21 +160,16 @@ def test_cells(spark):
     assert line.select(layout.cells_at(F.lit("ab"), F.array(F.lit(0), F.lit(5), F.lit(9)))).first()[0] == ["ab", "", ""]
 
 
-def test_intermediates_end_with_their_use(spark, tmp_path):
-    old = spark.conf.get("papyrine.shared.dir", None)
-    spark.conf.set("papyrine.shared.dir", f"file://{tmp_path}/shared")
-    try:
-        a = files.durable(spark.range(10), "one")
-        b = files.durable(a.selectExpr("id % 2 as k", "id"), "two", by="k")
-        assert b.where("k = 1").count() == 5
-        root = f"{tmp_path}/shared/papyrine-{spark.sparkContext.applicationId}"
-        assert len(os.listdir(root)) == 2
-        files.discard(a)
-        assert len(os.listdir(root)) == 1
-        files.release(spark)
-        assert not os.path.exists(root)
-    finally:
-        spark.conf.unset("papyrine.shared.dir") if old is None else spark.conf.set("papyrine.shared.dir", old)
+def test_intermediates_end_with_their_use(spark):
+    files.release(spark)
+    root = files.scratch_dir(spark).removeprefix("file:")
+    a = files.durable(spark.range(10), "one")
+    b = files.durable(a.selectExpr("id % 2 as k", "id"), "two", by="k")
+    assert b.where("k = 1").count() == 5 and len(os.listdir(root)) == 2
+    files.discard(a)
+    assert len(os.listdir(root)) == 1
+    files.release(spark)
+    assert not os.path.exists(root)
 
 
 def test_clusters_need_a_shared_folder(spark):
