@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator, Mapping
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -337,12 +338,26 @@ def learn(documents: DataFrame, text_col: str = "markdown_text") -> Lexicon:
         good = {r.word: r.n for r in table.orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()}
     index = {w: i for i, w in enumerate(good)}
     contexts = min(CONTEXTS, max(1, len(index)))
-    matrix = np.zeros((max(1, len(index)), contexts))
-    if index:
-        # At most MOST_WORDS * CONTEXTS rows of 12 bytes, 100 MB.
-        pairs = pair_counts(texts, index, contexts).select(F.col("w").cast("int"), F.col("c").cast("int"), F.col("n").cast("float")).toPandas()
-        matrix[pairs["w"].to_numpy(), pairs["c"].to_numpy()] = pairs["n"].to_numpy()
-    return Lexicon(good, *skip_gram(matrix), table)
+    return Lexicon(good, *trained(pair_counts(texts, index, contexts), max(1, len(index)), contexts), table)
+
+
+def trained(pairs: DataFrame, words: int, contexts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of words and contexts from their pair counts, learned by one task.
+
+    The task gets at most MOST_WORDS * CONTEXTS counts, whatever the corpus; only the vectors
+    (some 2 MB) come to the driver.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        matrix = np.zeros((words, contexts))
+        matrix[pdf["w"].to_numpy(), pdf["c"].to_numpy()] = pdf["n"].to_numpy()
+        u, v = skip_gram(matrix)
+        return pd.DataFrame({"side": [0] * len(u) + [1] * len(v), "i": [*range(len(u)), *range(len(v))], "x": [*u, *v]})
+
+    numbers = pairs.select(F.col("w").cast("int"), F.col("c").cast("int"), F.col("n").cast("float"))
+    got = numbers.groupBy(F.lit("all").alias("g")).applyInPandas(run, "side int, i int, x array<float>").toPandas().sort_values(["side", "i"])
+    sides = [np.stack(part["x"].to_list()) if len(part) else np.zeros((n, DIMENSIONS)) for n, part in ((words, got[got["side"] == 0]), (contexts, got[got["side"] == 1]))]
+    return sides[0].astype(np.float32), sides[1].astype(np.float32)
 
 
 class _Asking:
