@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyrine.functions.text import collapse
-from papyrine.operators import catalog, identity, reconcile, store
+from papyrine.operators import catalog, identity, reconcile, rollout, store
 from papyrine.operators.copydiff import number_text
+from papyrine.plans import nearest as near
 from papyrine.plans import sql as q
 from papyrine.plans.content import current_chunks
 from papyrine.sources.tables import load
@@ -175,16 +176,13 @@ def registry_refused(spark, d):
 
 def rollout_gates(spark, d):
     """Gates over the state of all collections: rebuild, audit, evaluation of two searches, and overall."""
-    from papyrine.operators import rollout
-    from papyrine.plans import nearest
-
     m = _manifest(spark, d).withColumn("doc_id", F.col("doc_key"))
     failed = spark.createDataFrame([], "doc_id string, path string, error string")
     versions = catalog.version_issues(m, "ingestion_v2", "chunking_v2")
     gates = [
         rollout.rebuild_gate(m.where("collection = ''"), failed, ""),
         rollout.audit_gate(_all_issues(spark, d), identity.cleanup_plan(_entries(spark, d)), versions),
-        rollout.eval_gate("evaluation", nearest.summary(spark, d, 10), nearest.summary(spark, d, 3)),
+        rollout.eval_gate("evaluation", near.summary(spark, d, 10), near.summary(spark, d, 3)),
         rollout.spot_check_gate(load(spark, d, "eval_passages").select("query", F.when(F.size("labels") > 0, "pass").otherwise("fail").alias("status"))),
     ]
     return rollout.report(gates).select("gate", "status", F.array_join("issues", ",").alias("issues"))
@@ -240,12 +238,14 @@ _SYNCED = f"""(select collection, doc_key as doc_id, {_CODE('local_file')} as pd
       {_CODE('parser')} as parser, {_CODE('source_sha256')} as source_sha256, coalesce(file_size_bytes, 0) as file_size_bytes, {_CODE('ingestion_version')} as ingestion_version, trim(coalesce(chunker_version, chunking_version, '')) as chunker_version from {_MAN})"""
 _AS = lambda t: f"(select collection, doc_id, source_file, pdf_path as local_file, source_sha256 from {t})"
 
+_VERSIONS = f"""select * from (select collection, doc_key as doc_id, array_to_string(list_filter([case when trim(coalesce(ingestion_version, '')) not in ('', 'ingestion_v2') then 'ingestion_version' end,
+      case when trim(coalesce(chunker_version, chunking_version, '')) not in ('', 'chunking_v2') then 'chunker_version' end], lambda x: x is not null), ',') as issues from {_CUR}) where issues <> ''"""
+
 ORACLE = {
     "doc_summary": f"select * from {_STORE}",
     "manifest_current": f"select collection, doc_key, entry_id, chunk_count, text_chunk_count, table_chunk_count from {_CUR}",
     "manifest_totals": f"select collection, count(*) as doc_count, sum(chunk_count)::bigint as chunk_count, sum(text_chunk_count)::bigint as text_chunk_count, sum(table_chunk_count)::bigint as table_chunk_count from {_CUR} group by collection",
-    "version_issues": f"""select * from (select collection, doc_key as doc_id, array_to_string(list_filter([case when trim(coalesce(ingestion_version, '')) not in ('', 'ingestion_v2') then 'ingestion_version' end,
-      case when trim(coalesce(chunker_version, chunking_version, '')) not in ('', 'chunking_v2') then 'chunker_version' end], lambda x: x is not null), ',') as issues from {_CUR}) where issues <> ''""",
+    "version_issues": _VERSIONS,
     "doc_identities": f"select * from {_IDS}",
     "dup_identity": f"select * from {_DUP_MAN}",
     "dup_members": f"select distinct collection, field, norm, doc_id from ({_LONG(_CLAIMED, 'collection, doc_id')}) join {_DUP_MAN} using (collection, field, norm)",
@@ -260,6 +260,15 @@ ORACLE = {
       y as ({_LONG('manifest_docs', 'doc_id')} union all select doc_id, 'doc_id', {_TEXT('doc_id')} from manifest_docs where {_TEXT('doc_id')} is not null)
       select x.doc_id, x.field, min(y.doc_id) as existing_doc_id from x join y on x.field = y.field and x.norm = y.norm group by x.doc_id, x.field""",
     "reconcile_docs": f"select collection, doc_id, issue_type, present_in, fields from {_PRES}",
+    "rollout_gates": f"""with v as (select count(*) as n from ({_VERSIONS})), i as (select count(*) as n from {_ISSUES}), u as (select count(*) as n from ({_WEIGHED} select * from h)), m as (select count(*) as n from {_MAN} where collection = ''),
+      e as (select list_sort(list(case when delta is null then 'missing:' else 'dropped:' end || metric)) as bad from ({near.ORACLE["eval_gate"]}) where not passed),
+      c as (select count(*) as n, count_if(not coalesce(len(labels) > 0, false)) as f from eval_passages),
+      g as (select 'rebuild' as gate, case when n = 0 then 'missing_manifest' else '' end as issues from m
+        union all select 'audit', array_to_string(list_filter([case when v.n > 0 then 'version_issues:' || v.n end, case when i.n > 0 then 'reconciliation_issues:' || i.n end, case when u.n > 0 then 'cleanup_entries:' || u.n end], lambda x: x is not null), ',') from v, i, u
+        union all select 'evaluation', coalesce(array_to_string(bad, ','), '') from e
+        union all select 'manual_spot_check', case when n = 0 then 'no_checks' when f > 0 then 'failed_checks:' || f else '' end from c)
+      select gate, case when issues = '' then 'pass' else 'fail' end as status, issues from g
+      union all select 'overall', case when count_if(issues <> '') > 0 then 'fail' else 'pass' end, coalesce(array_to_string(list_sort(list(gate) filter (issues <> '')), ','), '') from g""",
     "count_sanity": f"select * from {_sanity(_STORE, '')} where checks <> ''",
     "metadata_mismatch": f"select * from {_META} where fields <> ''",
     "issue_counts": f"select issue_type, count(*) as n from {_ISSUES} group by issue_type",
