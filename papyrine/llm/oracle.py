@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from papyrine.llm import quality
+
 _TRIM = "trim({x}, ' \t\r\n')"
 
 
@@ -41,4 +43,19 @@ with recursive raw as (select item_id, abstract_text, nullif(trim(regexp_replace
     union all select a.rn, case when len(list_intersect(t.acc, a.before)) = 0 then list_append(t.acc, a.item_id) else t.acc end, list_min(list_intersect(t.acc, a.before)), a.item_id from taken t join asked a on a.rn = t.rn + 1)
 select kept as kept_id, item as dup_id from taken where kept is not null"""
 
-ORACLE = {"p4_found": P4_FOUND, "p5_found": P5_FOUND}
+WORD_STATISTICS = "doc_id n_chars n_words n_lines mean_word_length letter_share digit_share vowel_share common_word_share distinct_word_share distinct_words single_char_share long_token_share".split()
+_BLANK = "[\\s\\x0b" + "".join(f"\\x{{{ord(c):x}}}" for c in quality.BLANKS) + "]+"
+_COMMON = ", ".join("'" + w.replace("'", "''") + "'" for w in quality.COMMON)
+_LEFT = "length(regexp_replace(t, '{p}', '', 'g'))"
+_SHARE = lambda a, b: f"case when {b} > 0 then least({a} / {b}, 1.0) else 0.0 end"
+P8_WORDS = f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+  w as (select doc_id, t, list_filter(regexp_split_to_array(t, '{_BLANK}'), lambda x: x <> '') as w from d),
+  c as (select doc_id, length(t) as n_chars, len(w) as n_words, len(regexp_extract_all(t, '[^\\s\\x0b][^\\n]*')) as n_lines, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as solid, len(list_distinct(w)) as distinct_words,
+    {_LEFT.format(p='[^\\p{L}]+')} as letters, {_LEFT.format(p='\\P{Nd}+')} as digits, {_LEFT.format(p=quality.PATTERNS['not_vowels'])} as vowels,
+    len(list_filter(w, lambda x: length(x) <= {quality.LONGEST_COMMON} and lower(x) in ({_COMMON}))) as common, len(list_filter(w, lambda x: length(x) = 1)) as single,
+    coalesce(list_sum(list_transform(list_filter(w, lambda x: length(x) > 24), lambda x: length(x))), 0) as long from w)
+select doc_id, n_chars, n_words, n_lines, case when n_words > 0 then solid / n_words else 0.0 end as mean_word_length, {_SHARE('letters', 'solid')} as letter_share, {_SHARE('digits', 'solid')} as digit_share, {_SHARE('vowels', 'letters')} as vowel_share,
+  {_SHARE('common', 'n_words')} as common_word_share, {_SHARE('distinct_words', 'n_words')} as distinct_word_share, distinct_words, {_SHARE('single', 'n_words')} as single_char_share, {_SHARE('long', 'solid')} as long_token_share from c"""
+
+ORACLE = {"p8_words": P8_WORDS, "p4_found": P4_FOUND, "p5_found": P5_FOUND}

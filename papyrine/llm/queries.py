@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from papyrine.llm import bpe, intake, leakage, quality, scan, split
 from papyrine.llm.oracle import ORACLE as ORACLE  # noqa: F401
+from papyrine.llm.oracle import WORD_STATISTICS
 from papyrine.sources.tables import load
 
 
@@ -75,4 +76,9 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.with_statistics(load(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_text, p4_found, p5_found, p5_pieces, p6_ids, p6_counts, p7_found, p7_matches, p7_items, p8_found, p8_kinds, p8_statistics)}
+def p8_words(spark: SparkSession, d: str) -> DataFrame:
+    """Those statistics of every document that count words and letters."""
+    return p8_statistics(spark, d).select(*WORD_STATISTICS)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_text, p4_found, p5_found, p5_pieces, p6_ids, p6_counts, p7_found, p7_matches, p7_items, p8_found, p8_kinds, p8_statistics, p8_words)}
