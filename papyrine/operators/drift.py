@@ -77,9 +77,8 @@ def file_summary(files: DataFrame) -> DataFrame:
 
 def in_order(summary: DataFrame) -> DataFrame:
     """The summary with the place ``seq`` of each file in its collection, by written_at, then name."""
-    files = summary.select("collection", "file_name", "written_at").distinct()
-    w = W.partitionBy("collection").orderBy("written_at", "file_name")
-    return summary.join(files.select("collection", "file_name", F.row_number().over(w).alias("seq")), ["collection", "file_name"])
+    # Rows of one file tie, so that files are numbered without a join.
+    return summary.withColumn("seq", F.dense_rank().over(W.partitionBy("collection").orderBy("written_at", "file_name")))
 
 
 def boundaries(summary: DataFrame) -> DataFrame:
@@ -110,12 +109,12 @@ def renames(files: DataFrame, summary: DataFrame) -> DataFrame:
     v = rec.select("collection", "row_id", doc.alias("doc"), F.expr("cast(v as map<string, variant>)").alias("m"), F.explode("wanted").alias("e")).where("doc is not null")
     v = v.select("collection", "row_id", "doc", "e", F.col("m")[F.col("e.field")].alias("x")).where(F.col("x").isNotNull() & ~F.is_variant_null("x"))
     text = F.to_json("x")
-    v = v.select("collection", F.col("e.seq").alias("seq"), "doc", F.col("e.side").alias("side"), F.col("e.field").alias("field"), "row_id", F.struct(F.xxhash64(text), F.xxhash64(F.lit(1), text)).alias("h"))
-    one = v.groupBy("collection", "seq", "doc", "side", "field").agg(F.max_by("h", "row_id").alias("h"))
+    v = v.select("collection", F.col("e.seq").alias("seq"), "doc", F.col("e.side").alias("side"), F.col("e.field").alias("field"), "row_id", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    one = v.groupBy("collection", "seq", "doc", "side", "field").agg(F.max_by("h1", "row_id").alias("h1"), F.max_by("h2", "row_id").alias("h2"))
     # One value for each field that changed there, so a document's list is as short as its record.
-    held = one.groupBy("collection", "seq", "doc").agg(F.collect_list(F.struct("side", "field", "h")).alias("all"))
+    held = one.groupBy("collection", "seq", "doc").agg(F.collect_list(F.struct("side", "field", "h1", "h2")).alias("all"))
     olds, news = F.filter("all", lambda e: e["side"] == 0), F.filter("all", lambda e: e["side"] == 1)
-    pairs = F.flatten(F.transform(olds, lambda o: F.transform(news, lambda n: F.struct(o["field"].alias("old"), n["field"].alias("new"), (o["h"] == n["h"]).alias("same")))))
+    pairs = F.flatten(F.transform(olds, lambda o: F.transform(news, lambda n: F.struct(o["field"].alias("old"), n["field"].alias("new"), ((o["h1"] == n["h1"]) & (o["h2"] == n["h2"])).alias("same")))))
     agreed = held.select("collection", "seq", F.explode(pairs).alias("p")).groupBy("collection", "seq", "p.old", "p.new").agg(F.avg(F.col("p.same").cast("double")).alias("share"), F.count("*").alias("n"))
     best = lambda of, other: W.partitionBy("collection", "seq", of).orderBy(F.desc("share"), F.desc("n"), other)
     ranked = agreed.where("share > 0.5").withColumns({"i": F.row_number().over(best("old", "new")), "j": F.row_number().over(best("new", "old"))})
